@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandmill.llm import bpe, matroska, token_files
+from strandmill.llm import bpe, decontaminate, matroska, token_files
 from strandmill.session import table
 
 #: Where the public tokenizers lie; None: the installed package says.
@@ -21,6 +22,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), WORD_IDS)
 
@@ -33,5 +39,5 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op4_bpe, op5_matroska)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op4_bpe, op5_matroska)}
 ORACLE_SQL: dict[str, str] = {}
