@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import bpe, decontaminate, matroska, token_files
+from strandmill.llm import bpe, decontaminate, matroska, token_files, toxicity
 from strandmill.session import table
 
 #: Where the public tokenizers lie; None: the installed package says.
@@ -39,5 +39,11 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op4_bpe, op5_matroska)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op4_bpe, op5_matroska, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

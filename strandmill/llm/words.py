@@ -89,6 +89,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray  # [n] uint64
     docs: np.ndarray  # [d + 1] each text's first word
+    prefix: np.ndarray  # prefix sums over data, for spans()
 
     def count(self) -> np.ndarray:
         return np.diff(self.docs)
@@ -111,7 +112,7 @@ def words(column: pa.Array, inside: np.ndarray, lower: bool) -> Words:
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(raw, at, none, none, np.zeros(0, np.uint64), np.zeros(len(at), np.int64))
+        return Words(raw, at, none, none, np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(1, np.uint64))
     mask = inside[raw]
     before = np.empty(n, bool)
     before[0] = False
@@ -126,8 +127,8 @@ def words(column: pa.Array, inside: np.ndarray, lower: bool) -> Words:
     after[edge] = False
     end = np.flatnonzero(mask & ~after) + 1
     table = BYTE_VALUES[_LOWER if lower else _PLAIN]
-    h = spans(sums(table[raw]), start, end)
-    return Words(raw, at, start, end, h, np.searchsorted(start, at).astype(np.int64))
+    prefix = sums(table[raw])
+    return Words(raw, at, start, end, spans(prefix, start, end), np.searchsorted(start, at).astype(np.int64), prefix)
 
 
 def runs(h: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
