@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.id_filter import id_filter, maybe
 from strandmill.llm.words import SPACED, U, mix, runs, sliced, small_batches, whole, words
 from strandmill.operators.components import components
 from strandmill.session import cut, ship
@@ -144,13 +145,13 @@ def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * |intersection| >= percent * |union|, from the full sets of both texts."""
     spark = docs.sparkSession
-    wanted = _filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    wanted = id_filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sent = spark.sparkContext.broadcast(wanted)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows:
-                yield t.filter(pa.array(_maybe(sent.value, t.column(0).to_numpy())))
+                yield t.filter(pa.array(maybe(sent.value, t.column(0).to_numpy())))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     # a document's rows are alike in all but the rarest tables; one text of it is enough
@@ -181,55 +182,6 @@ def _common(u: np.ndarray, v: np.ndarray) -> int:
     return np.count_nonzero(u[i] == v)
 
 
-#: Words of 64 bits in the filter of wanted documents at most: 8 MB.
-FILTER_WORDS = 1 << 20
-
-
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ids, of bounded size: what it lets through in error costs a shuffled text, no more."""
-    ids = ids.select("id")
-    size = 1 << 10
-    n = ids.count()
-    while size < min(FILTER_WORDS, n // 4):
-        size *= 2
-    bits = None
-    for seed in (1, 2, 3):
-        one = ids.select(F.xxhash64("id", F.lit(seed)).alias("h")).select(F.expr(f"pmod(h, {size})").cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 40), 64) as int))").alias("m"))
-        bits = one if bits is None else bits.union(one)
-    out = np.zeros(size, np.uint64)
-    for r in bits.groupBy("w").agg(F.expr("bit_or(m)").alias("m")).toLocalIterator():
-        out[r.w] = r.m % 2**64
-    return out
-
-
-def _maybe(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(ids), bool)
-    for seed in (1, 2, 3):
-        h = _xxhash64(ids, seed)
-        ok &= filter_[h % len(filter_)] >> ((h >> 40) % 64).astype(np.uint64) & U(1) == 1
-    return ok
-
-
-def _xxhash64(ids: np.ndarray, seed: int) -> np.ndarray:
-    """Spark's xxhash64(id long, seed int), vectorised; signed as in Spark."""
-    p1, p2, p3, p4, p5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << U(r)) | (x >> U(64 - r))
-
-    def end(h):
-        h = (h ^ (h >> U(33))) * p2
-        h = (h ^ (h >> U(29))) * p3
-        return h ^ (h >> U(32))
-
-    with np.errstate(over="ignore"):
-        h = np.full(len(ids), U(42), np.uint64) + p5 + U(8)
-        h ^= rot(ids.astype(np.int64).view(np.uint64) * p2, 31) * p1
-        h = end(rot(h, 27) * p1 + p4)
-        h = h + p5 + U(4)
-        h ^= np.full(len(ids), U(seed), np.uint64) * p1
-        h = end(rot(h, 23) * p2 + p3)
-    return h.view(np.int64)
-
-
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     """Members of buckets that hold several components: key, rep, comp, size."""
     now = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import bpe, decontaminate, matroska, near_dedup, token_files, toxicity
+from strandmill.llm import bpe, decontaminate, matroska, near_dedup, recompress, token_files, toxicity
 from strandmill.session import table
 
 #: Where the public tokenizers lie; None: the installed package says.
@@ -49,5 +49,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_near_dedup, op4_bpe, op5_matroska, op9_toxicity)}
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.without_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_near_dedup, op4_bpe, op5_matroska, op9_toxicity, op10_recompression)}
 ORACLE_SQL: dict[str, str] = {}
