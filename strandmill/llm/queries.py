@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import bpe, decontaminate, matroska, near_dedup, recompress, token_files, toxicity
+from strandmill.llm import bpe, decontaminate, matroska, near_dedup, pii, recompress, secret_scan, token_files, toxicity
 from strandmill.session import table
 
 #: Where the public tokenizers lie; None: the installed package says.
@@ -43,6 +43,14 @@ def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.stored(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -53,5 +61,5 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_near_dedup, op4_bpe, op5_matroska, op9_toxicity, op10_recompression)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_near_dedup, op4_bpe, op5_matroska, op6_secrets, op7_pii, op9_toxicity, op10_recompression)}
 ORACLE_SQL: dict[str, str] = {}
