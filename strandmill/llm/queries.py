@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import bpe, decontaminate, matroska, near_dedup, pii, recompress, secret_scan, token_files, toxicity
+from strandmill.llm import bpe, decontaminate, license_scan, matroska, near_dedup, pii, recompress, secret_scan, token_files, toxicity
 from strandmill.session import table
 
 #: Where the public tokenizers lie; None: the installed package says.
@@ -51,6 +51,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licenses(table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), F.format_number(m["containment"], 4)))
+    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -61,5 +67,5 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.without_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_near_dedup, op4_bpe, op5_matroska, op6_secrets, op7_pii, op9_toxicity, op10_recompression)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_near_dedup, op4_bpe, op5_matroska, op6_secrets, op7_pii, op8_licenses, op9_toxicity, op10_recompression)}
 ORACLE_SQL: dict[str, str] = {}
