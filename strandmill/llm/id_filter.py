@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.words import U
+from strandmill.llm.words import U, small_batches
+from strandmill.session import ship
 
-#: Words of 64 bits in a filter at most: 8 MB.
-FILTER_WORDS = 1 << 20
+#: Words of 64 bits in a filter at most: 4 MB.
+FILTER_WORDS = 1 << 19
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -24,7 +28,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         one = ids.select(F.xxhash64("id", F.lit(seed)).alias("h")).select(F.expr(f"pmod(h, {size})").cast("int").alias("w"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 40), 64) as int))").alias("m"))
         bits = one if bits is None else bits.union(one)
     out = np.zeros(size, np.uint64)
-    for r in bits.groupBy("w").agg(F.expr("bit_or(m)").alias("m")).toLocalIterator():
+    for r in bits.groupBy("w").agg(F.expr("bit_or(m)").alias("m")).collect():
         out[r.w] = r.m % 2**64
     return out
 
@@ -55,3 +59,21 @@ def xxhash64(ids: np.ndarray, seed: int) -> np.ndarray:
         h ^= np.full(len(ids), U(seed), np.uint64) * p1
         h = end(rot(h, 23) * p2 + p3)
     return h.view(np.int64)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in ``gone`` (doc_id). Only rows that a bounded filter takes for gone are shuffled."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(gone.select(F.col("doc_id").alias("id"))))
+
+    def part(want: bool):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                if t.num_rows:
+                    key = t.column(t.schema.get_field_index("doc_id"))
+                    there = maybe(sent.value, key.fill_null(0).to_numpy(zero_copy_only=False)) & ~key.is_null().to_numpy(zero_copy_only=False)
+                    yield t.filter(pa.array(there == want))
+
+        return small_batches(docs).mapInArrow(task, docs.schema)
+
+    return part(False).unionByName(part(True).join(gone, "doc_id", "left_anti").select(*docs.columns))
