@@ -34,18 +34,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     pairs = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
     now = cut(pairs.distinct(), "components")
     loops = now.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    first, seen = now, None
+    first = now
     for _ in range(most_rounds):
         after = cut(_small_star(_large_star(now)), "components")
         if now is not first:
             uncut(now)
         now = after
-        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if sign == seen:
+        # done once no vertex that others point to points on, and each points to one
+        onward = now.select(F.col("b").alias("a")).distinct().join(now, "a", "left_semi")
+        if onward.isEmpty() and now.groupBy("a").count().where("count > 1").isEmpty():
             break
-        seen = sign
     else:
-        raise RuntimeError(f"no fixed point within {most_rounds} rounds")
+        raise RuntimeError(f"no star forest within {most_rounds} rounds")
     # now is a forest of stars: each vertex but the smallest points to the smallest
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
