@@ -1,6 +1,373 @@
-"""The registered queries over the driver's tables, with their SQL."""
+"""The registered queries over the driver's tables, with their SQL.
+
+Reads are made of whole document texts: letters and the blank are dealt onto the four bases in turn, all else becomes N.
+Graphs are the read-overlap graph of those reads, and the graph of parts that follow one another within an order.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandmill.functions import sequence, text
+from strandmill.operators import graph, overlap, wordfreq
+from strandmill.plans.mr import KV
+from strandmill.session import cut, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+K, SHARED = 17, 100
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACA"
+NO_CAP = 2**31 - 1
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seq = F.regexp_replace(F.translate(F.lower("text"), LETTERS, BASES), "[^ACGT]", "N")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("header"), seq.alias("seq"))
+
+
+def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The read-overlap graph without a degree cap: pairs that share SHARED k-mers."""
+    return overlap.read_edges(overlap.read_kmers(reads(spark, sf_dir), K), NO_CAP, SHARED)
+
+
+def part_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vi, vj, w): from each line's part to the next line's part of the order; w is the smallest quantity."""
+    line = table(spark, sf_dir, "lineitem")
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return line.select(F.col("l_partkey").alias("vi"), after.alias("vj"), F.col("l_quantity").alias("w")).where("vj is not null and vi <> vj").groupBy("vi", "vj").agg(F.min("w").alias("w"))
+
+
+_READS = f"reads AS (SELECT doc_id AS id, regexp_replace(translate(lower(text), '{LETTERS}', '{BASES}'), '[^ACGT]', 'N', 'g') AS seq FROM documents), pieces AS (SELECT id, unnest(string_split(seq, 'N')) AS p FROM reads), wins AS (SELECT id, p, unnest(range(1, length(p) - {K} + 2)) AS i FROM pieces WHERE length(p) >= {K}), fwd AS (SELECT id, substr(p, i, {K}) AS f FROM wins), "
+_KMERS = _READS + "km AS (SELECT DISTINCT id, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS kmer FROM fwd), "
+_EDGES = _KMERS + f"e AS (SELECT a.id AS src, b.id AS dst, count(*) AS w FROM km a JOIN km b ON a.kmer = b.kmer AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= {SHARED}), "
+_STEPS = "st AS (SELECT vi, vj, min(w) AS w FROM (SELECT l_partkey AS vi, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS vj, l_quantity AS w FROM lineitem) WHERE vj IS NOT NULL AND vi <> vj GROUP BY 1, 2), up AS (SELECT DISTINCT least(vi, vj) AS vi, greatest(vi, vj) AS vj FROM st), "
+
+
+def _with(ctes: str, select: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes.rstrip(', ')} {select}"
+
+
+# k-mers
+
+
+@query(_with(_KMERS, "SELECT kmer, count(*) AS cnt FROM km GROUP BY kmer"))
+def kmer_count(spark, sf_dir):
+    return overlap.kmer_counts(reads(spark, sf_dir), K)
+
+
+@query(_with(_READS, "SELECT kmer, count(*) AS cnt FROM (SELECT DISTINCT id, unnest([f, reverse(translate(f, 'ACGT', 'TGCA'))]) AS kmer FROM fwd) GROUP BY kmer"))
+def kmer_count_both_strands(spark, sf_dir):
+    return overlap.kmer_counts(reads(spark, sf_dir), K, canonical=False)
+
+
+@query(_with(_KMERS, f"SELECT CAST(list_sum(list_transform(range(1, {K} + 1), lambda i: (strpos('CTAG', substr(kmer, i, 1)) - 1) * CAST(4 AS BIGINT) ** ({K} - i))) AS BIGINT) AS number, kmer, kmer AS back FROM (SELECT DISTINCT kmer FROM km)"))
+def kmer_number(spark, sf_dir):
+    every = overlap.read_kmers(reads(spark, sf_dir), K).select("kmer").distinct()
+    return every.select(sequence.kmer_to_number("kmer").alias("number"), "kmer", sequence.number_to_kmer(sequence.kmer_to_number("kmer"), K).alias("back"))
+
+
+@query(_with(_KMERS, f"SELECT kmer, to_base64(unhex(array_to_string(list_transform(range(0, {(K + 3) // 4}), lambda j: printf('%02X', CAST(list_sum(list_transform(range(0, 4), lambda i: greatest(strpos('ATCG', substr(rpad(kmer, {(K + 3) // 4 * 4}, 'A'), j * 4 + i + 1, 1)) - 1, 0) * CAST(4 AS BIGINT) ** (3 - i))) AS INTEGER))), ''))) AS code FROM (SELECT DISTINCT kmer FROM km)"))
+def kmer_base64(spark, sf_dir):
+    return overlap.read_kmers(reads(spark, sf_dir), K).select("kmer").distinct().select("kmer", sequence.kmer_to_base64("kmer").alias("code"))
+
+
+@query(_with(_READS, "SELECT f AS kmer, count(*) AS cnt FROM fwd GROUP BY f"))
+def windows_in_order(spark, sf_dir):
+    made = reads(spark, sf_dir).select(F.explode(sequence.generate_kmers_in_order("seq", K, canonical=False)).alias("kmer"))
+    return made.groupBy("kmer").agg(F.count("*").alias("cnt"))
+
+
+@query(_with(_KMERS, "SELECT kmer, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY id) AS reads FROM km GROUP BY kmer HAVING count(*) >= 2"))
+def kmer_read_map(spark, sf_dir):
+    return overlap.kmer_read_map(reads(spark, sf_dir), K).select("kmer", F.array_join(F.transform("reads", lambda x: x.cast("string")), " ").alias("reads"))
+
+
+@query("SELECT p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) AS rc, least(upper(p_name), reverse(translate(upper(p_name), 'ACGT', 'TGCA'))) AS canonical FROM part")
+def reverse_complements(spark, sf_dir):
+    own = table(spark, sf_dir, "part").withColumn("s", F.upper("p_name"))
+    return own.select("p_partkey", sequence.reverse_complement("s").alias("rc"), sequence.canonical_kmer("s").alias("canonical"))
+
+
+@query()
+def random_kmers(spark, sf_dir):
+    return reads(spark, sf_dir).select("id", sequence.random_kmer("seq", K, 7).alias("kmer"))
+
+
+# the read graph
+
+
+@query(_with(_EDGES, "SELECT src, dst, w FROM e"))
+def read_edges(spark, sf_dir):
+    return document_edges(spark, sf_dir)
+
+
+@query()
+def read_edges_capped(spark, sf_dir):
+    return overlap.read_edges(overlap.read_kmers(reads(spark, sf_dir), K), 100, 1, seed=1)
+
+
+@query(_with(_EDGES, "SELECT CAST((src + dst) % 4 AS BIGINT) AS part, src, dst, w FROM e"))
+def read_edge_parts(spark, sf_dir):
+    own = cut(document_edges(spark, sf_dir), "edges")
+    parts = [overlap.edge_part(own, i, 4).select(F.lit(i).cast("long").alias("part"), "src", "dst", "w") for i in range(4)]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(_with(_EDGES, "SELECT node, nbr, w, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, nbr) AS rank FROM (SELECT src AS node, dst AS nbr, w FROM e UNION ALL SELECT dst, src, w FROM e)) WHERE rank <= 5"))
+def top_neighbors(spark, sf_dir):
+    return overlap.top_neighbours(document_edges(spark, sf_dir), 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_with(_EDGES, "SELECT src, dst, round(w / avg(w) OVER (), 9) AS w FROM e"))
+def edge_normalize(spark, sf_dir):
+    return overlap.normalized_weights(document_edges(spark, sf_dir)).select("src", "dst", F.round("w", 9).alias("w"))
+
+
+def _label_sql(rounds: int) -> str:
+    ctes = _EDGES + "b AS (SELECT src AS node, dst AS nbr FROM e UNION ALL SELECT dst, src FROM e), l0 AS (SELECT DISTINCT node, node AS label FROM b), "
+    for i in range(rounds):
+        ctes += (
+            f"v{i} AS (SELECT b.node, l{i}.label, count(*) AS s FROM b JOIN l{i} ON l{i}.node = b.nbr GROUP BY 1, 2), "
+            f"s{i} AS (SELECT node, label, sum(s) AS s FROM (SELECT node, label, s FROM v{i} UNION ALL SELECT node, label, 1 FROM l{i}) GROUP BY 1, 2), "
+            f"l{i + 1} AS (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY s DESC, label) AS r FROM s{i}) WHERE r = 1), "
+        )
+    return _with(ctes, f"SELECT node, label FROM l{rounds}")
+
+
+@query(_label_sql(3))
+def label_rounds(spark, sf_dir):
+    """Three rounds of label propagation."""
+    return overlap.label_propagation(document_edges(spark, sf_dir), most_rounds=3).select("node", "label")
+
+
+@query()
+def label_propagation(spark, sf_dir):
+    return overlap.label_propagation(document_edges(spark, sf_dir), most_rounds=50, mode="as_written").select("node", "label")
+
+
+_ZONES = _EDGES + "b AS (SELECT src AS v, dst AS u FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT DISTINCT v, v AS z FROM b UNION SELECT b.u, r.z FROM r JOIN b ON b.v = r.v WHERE r.z < b.u), zones AS (SELECT v, min(z) AS zone FROM r GROUP BY v), "
+
+
+def _zones(spark, sf_dir):
+    return graph.cc_find(document_edges(spark, sf_dir).select(F.col("src").alias("vi"), F.col("dst").alias("vj")))
+
+
+@query(_with(_ZONES, "SELECT v, zone FROM zones", recursive=True))
+def connected_components(spark, sf_dir):
+    return _zones(spark, sf_dir)
+
+
+@query(_with(_ZONES, "SELECT size, count(*) AS zones FROM (SELECT count(*) AS size FROM zones GROUP BY zone) GROUP BY size", recursive=True))
+def component_stats(spark, sf_dir):
+    return graph.cc_stats(_zones(spark, sf_dir))
+
+
+# the graph of parts
+
+
+@query(_with(_STEPS, "SELECT vi, vj FROM up"))
+def edge_upper(spark, sf_dir):
+    return graph.edge_upper(part_steps(spark, sf_dir))
+
+
+@query(_with(_STEPS, "SELECT v, count(*) AS degree FROM (SELECT vi AS v FROM st UNION ALL SELECT vj FROM st) GROUP BY v"))
+def degree(spark, sf_dir):
+    return graph.degree(part_steps(spark, sf_dir))
+
+
+@query(_with(_STEPS, "SELECT vi AS v, count(*) AS degree FROM st GROUP BY vi"))
+def degree_first(spark, sf_dir):
+    return graph.degree(part_steps(spark, sf_dir), first_only=True)
+
+
+@query(_with(_STEPS, "SELECT degree, count(*) AS vertices FROM (SELECT v, count(*) AS degree FROM (SELECT vi AS v FROM st UNION ALL SELECT vj FROM st) GROUP BY v) GROUP BY degree"))
+def degree_stats(spark, sf_dir):
+    return graph.degree_stats(part_steps(spark, sf_dir))
+
+
+@query(_with(_STEPS, "SELECT st.vi, vj, 1 / d AS w FROM st JOIN (SELECT vi, CAST(count(*) AS DOUBLE) AS d FROM st GROUP BY vi) x ON x.vi = st.vi"))
+def degree_weight(spark, sf_dir):
+    return graph.degree_weight(part_steps(spark, sf_dir))
+
+
+@query(_with(_STEPS, "SELECT vi AS v FROM st UNION SELECT vj FROM st"))
+def vertex_extract(spark, sf_dir):
+    return graph.vertex_extract(part_steps(spark, sf_dir))
+
+
+@query(_with(_STEPS, "SELECT v, string_agg(CAST(u AS VARCHAR), ' ' ORDER BY u) AS nbrs FROM (SELECT vi AS v, vj AS u FROM up UNION ALL SELECT vj, vi FROM up) GROUP BY v"))
+def neighbor_lists(spark, sf_dir):
+    return graph.neighbors(graph.edge_upper(part_steps(spark, sf_dir))).select("v", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+
+
+_TRI = _STEPS + "dg AS (SELECT v, count(*) AS d FROM (SELECT vi AS v FROM up UNION ALL SELECT vj FROM up) GROUP BY v), tri AS (SELECT a.vi AS x, a.vj AS y, b.vj AS z FROM up a JOIN up b ON b.vi = a.vj JOIN up c ON c.vi = a.vi AND c.vj = b.vj), ranked AS (SELECT x, y, z, CASE WHEN dx.d <= dy.d AND dx.d <= dz.d THEN x WHEN dy.d <= dz.d THEN y ELSE z END AS vi FROM tri JOIN dg dx ON dx.v = x JOIN dg dy ON dy.v = y JOIN dg dz ON dz.v = z), t AS (SELECT vi, CASE WHEN vi = x THEN y ELSE x END AS vj, CASE WHEN vi = z THEN y ELSE z END AS vk FROM ranked), "
+
+
+@query(_with(_TRI, "SELECT vi, vj, vk FROM t"))
+def triangles(spark, sf_dir):
+    return graph.triangles(cut(graph.edge_upper(part_steps(spark, sf_dir)), "upper"))
+
+
+@query(_with(_TRI, "SELECT vi AS v, vi AS a, vj AS b FROM up UNION ALL SELECT vj, vj, vi FROM up UNION ALL SELECT x, y, z FROM tri UNION ALL SELECT y, x, z FROM tri UNION ALL SELECT z, x, y FROM tri"))
+def neighbors_with_triangles(spark, sf_dir):
+    return graph.neighbors_with_triangles(cut(graph.edge_upper(part_steps(spark, sf_dir)), "upper"))
+
+
+@query()
+def independent_set(spark, sf_dir):
+    return graph.luby(graph.edge_upper(part_steps(spark, sf_dir)), 12345)
+
+
+def _relax_sql(rounds: int) -> str:
+    ctes = _STEPS + "d0 AS (SELECT CAST(1 AS BIGINT) AS v, CAST(0 AS DOUBLE) AS dist, CAST(NULL AS BIGINT) AS pred), "
+    for i in range(rounds):
+        ctes += f"d{i + 1} AS (SELECT v, dist, pred FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY dist, pred NULLS FIRST) AS r FROM (SELECT v, dist, pred FROM d{i} UNION ALL SELECT st.vj, d.dist + st.w, st.vi FROM d{i} d JOIN st ON st.vi = d.v)) WHERE r = 1), "
+    return _with(ctes, f"SELECT v, dist, coalesce(pred, -1) AS pred FROM d{rounds}")
+
+
+@query(_relax_sql(3))
+def shortest_paths_rounds(spark, sf_dir):
+    """Three rounds of relaxation from part 1."""
+    steps = cut(part_steps(spark, sf_dir), "steps")
+    state = spark.createDataFrame([(1, 0.0, None)], "v long, dist double, pred long")
+    for _ in range(3):
+        state = graph.relaxed(state, steps)
+    return state.select("v", "dist", F.coalesce("pred", F.lit(-1)).alias("pred"))
+
+
+@query()
+def shortest_paths(spark, sf_dir):
+    return graph.sssp(cut(part_steps(spark, sf_dir), "steps"), 1)
+
+
+def _rank_sql(rounds: int) -> str:
+    ctes = _STEPS + "sh AS (SELECT vi, vj, w / sum(w) OVER (PARTITION BY vi) AS share FROM st), vs AS (SELECT vi AS v FROM st UNION SELECT vj FROM st), r0 AS (SELECT v, 1.0::DOUBLE / count(*) OVER () AS rank FROM vs), "
+    for i in range(rounds):
+        ctes += f"f{i} AS (SELECT sh.vj AS v, sum(r.rank * sh.share) AS got FROM r{i} r JOIN sh ON sh.vi = r.v GROUP BY 1), o{i} AS (SELECT coalesce(sum(rank), 0) AS loose FROM r{i} WHERE v NOT IN (SELECT vi FROM st)), r{i + 1} AS (SELECT vs.v, 0.15::DOUBLE / (SELECT count(*) FROM vs) + 0.85::DOUBLE * (coalesce(got, 0) + (SELECT loose FROM o{i}) / (SELECT count(*) FROM vs)) AS rank FROM vs LEFT JOIN f{i} ON f{i}.v = vs.v), "
+    return _with(ctes, f"SELECT v, round(rank, 10) AS rank FROM r{rounds}")
+
+
+@query(_rank_sql(5))
+def pagerank(spark, sf_dir):
+    return graph.pagerank(part_steps(spark, sf_dir), rounds=5).select("v", F.round("rank", 10).alias("rank"))
+
+
+@query()
+def rmat(spark, sf_dir):
+    return graph.rmat(spark, 10, 8, 0.25, 0.25, 0.25, 0.25, 0.1, 12345)
+
+
+# words and keys
+
+_WORDS = "wd AS (SELECT unnest(string_split_regex(text, '[ \\t\\n\\f\\r]+')) AS word FROM documents), "
+
+
+@query(_with(_WORDS, "SELECT word, count(*) AS cnt FROM wd WHERE word <> '' GROUP BY word"))
+def word_freq(spark, sf_dir):
+    return wordfreq.word_counts(table(spark, sf_dir, "documents"), "text")
+
+
+@query(_with(_WORDS, "SELECT word, count(*) AS cnt FROM wd WHERE word <> '' GROUP BY word ORDER BY cnt DESC, word LIMIT 20"))
+def word_top(spark, sf_dir):
+    return wordfreq.top_words(table(spark, sf_dir, "documents"), 20, "text")
+
+
+@query("SELECT times, count(*) AS keys FROM (SELECT count(*) AS times FROM events GROUP BY user_id) GROUP BY times")
+def histo(spark, sf_dir):
+    return graph.histo(table(spark, sf_dir, "events"), "user_id")
+
+
+def _events(spark, sf_dir):
+    return KV(table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("value")))
+
+
+@query("SELECT event_type AS key, string_agg(CAST(user_id AS VARCHAR), ' ' ORDER BY user_id) AS value FROM events GROUP BY event_type")
+def kv_group(spark, sf_dir):
+    made = _events(spark, sf_dir).collate().sort_multivalues()
+    return made.rows.select("key", F.array_join(F.transform("values", lambda x: x.cast("string")), " ").alias("value"))
+
+
+@query("SELECT event_type AS key, count(*) AS value FROM events GROUP BY event_type")
+def kv_count(spark, sf_dir):
+    return _events(spark, sf_dir).count().rows
+
+
+@query("SELECT event_type AS key, min(user_id) AS value FROM events GROUP BY event_type")
+def kv_cull(spark, sf_dir):
+    return _events(spark, sf_dir).cull().rows
+
+
+@query("SELECT event_type AS key, CAST(sum(user_id) AS BIGINT) AS value FROM events GROUP BY event_type")
+def kv_sum(spark, sf_dir):
+    return _events(spark, sf_dir).summed().rows
+
+
+@query("SELECT event_type AS key, user_id AS value FROM events UNION ALL SELECT event_type, user_id FROM events")
+def kv_union(spark, sf_dir):
+    own = _events(spark, sf_dir)
+    return own.add(own.copy()).rows
+
+
+@query("SELECT event_type AS key, CAST(max(user_id) - min(user_id) AS BIGINT) AS value FROM events GROUP BY event_type")
+def kv_reduce(spark, sf_dir):
+    """A reduce callback."""
+    import pandas as pd
+
+    def spread(key, rows):
+        return pd.DataFrame({"key": [key], "value": [int(rows["value"].max() - rows["value"].min())]})
+
+    return _events(spark, sf_dir).reduce(spread, "key string, value long").rows
+
+
+@query("SELECT l_orderkey AS key, max(l_quantity) AS value FROM lineitem GROUP BY l_orderkey ORDER BY key DESC LIMIT 50")
+def sort_keys_top(spark, sf_dir):
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_quantity").alias("value"))
+    return KV(own).sort_keys(ascending=False, whole=True).rows.limit(50)
+
+
+@query("SELECT count(*) AS keys, count(user_id) AS \"values\", CAST(sum(strlen(event_type)) AS BIGINT) AS key_bytes, CAST(sum(strlen(CAST(user_id AS VARCHAR))) AS BIGINT) AS value_bytes FROM events")
+def kv_stats(spark, sf_dir):
+    return _events(spark, sf_dir).stats()
+
+
+# scalar functions
+
+
+@query("SELECT p_partkey, list_sum(list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))) AS total FROM part")
+def hash_strings(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", sequence.hash_string("p_name").cast("long").alias("total"))
+
+
+@query("SELECT o_orderkey AS n, o_orderkey AS back FROM orders")
+def base64_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), sequence.base64_to_long(sequence.long_to_base64("o_orderkey")).cast("long").alias("back"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(text, '[ ,.]'), lambda x: x <> '')) AS fields, regexp_replace(text, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g') AS trimmed FROM documents")
+def split_trim(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.split("text", " ,.")).cast("long").alias("fields"), text.trim("text").alias("trimmed"))
+
+
+@query("SELECT v, CAST(((25214903917::HUGEINT * (((v + 12345) % 4294967296)::HUGEINT * 65536 + 13070) + 11) % 281474976710656) AS DOUBLE) / 281474976710656.0::DOUBLE AS r FROM (SELECT DISTINCT l_partkey AS v FROM lineitem)")
+def vertex_randoms(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("v")).distinct().select("v", text.vertex_random("v", 12345).alias("r"))
+
+
+@query("SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS root, round(log10(abs(c_acctbal) + 1), 6) AS lg, round(ln(abs(c_acctbal) + 1), 6) AS nat, ceil(c_acctbal)::BIGINT AS up, floor(c_acctbal)::BIGINT AS down FROM customer")
+def script_math(spark, sf_dir):
+    b, m = F.abs("c_acctbal"), text.MATH
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(m["sqrt"](b), 6).alias("root"), F.round(m["log"](b + 1), 6).alias("lg"), F.round(m["ln"](b + 1), 6).alias("nat"), m["ceil"]("c_acctbal").cast("long").alias("up"), m["floor"]("c_acctbal").cast("long").alias("down"))
