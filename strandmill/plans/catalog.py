@@ -347,7 +347,7 @@ def kv_stats(spark, sf_dir):
 # scalar functions
 
 
-@query("SELECT p_partkey, list_sum(list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS BIGINT))) AS total FROM part")
+@query("SELECT p_partkey, CAST(list_sum(list_transform(string_split(p_name, ''), lambda c: ascii(c))) AS BIGINT) AS total FROM part")
 def hash_strings(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sequence.hash_string("p_name").cast("long").alias("total"))
 
