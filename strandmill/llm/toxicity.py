@@ -156,7 +156,7 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
     same[2:] = letter[2:] & (raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2])
     put("repeated_letter_rate", total(same) / size)
     put("other_bytes_rate", total(raw >= 128) / size)
-    return x
+    return x.astype(np.float32).astype(float)  # as training rows are sent, so that equal values fall on one side of a split
 
 
 class Trees:
