@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import bpe, decontaminate, license_scan, matroska, near_dedup, pii, recompress, secret_scan, token_files, toxicity
+from strandmill.llm.oracle import ORACLE_SQL  # noqa: F401
 from strandmill.session import table
 
 #: Where the public tokenizers lie; None: the installed package says.
@@ -68,4 +69,3 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_files, op3_near_dedup, op4_bpe, op5_matroska, op6_secrets, op7_pii, op8_licenses, op9_toxicity, op10_recompression)}
-ORACLE_SQL: dict[str, str] = {}
