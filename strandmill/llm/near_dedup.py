@@ -7,12 +7,18 @@
    rounds, so short documents have full sketches too, and two registers agree with the sets' Jaccard similarity as chance.
 3. Bands of ``ROWS`` registers are hashed to buckets. Sets of similarity 0.8 share no bucket with a chance of
    (1 - 0.8**4)**32, below 1e-7.
-4. In each bucket all sets are paired with the smallest one alone. Pairs whose estimate, corrected for chance agreement of
-   registers, is below ``LEAST_ESTIMATE`` (5 standard deviations under 0.8) go; the others are verified exactly on both
-   texts. Components of the links are found by star rounds.
-5. Buckets that still hold several components go on: first each set is paired with up to ``HUBS`` sets of other components of
-   its bucket, then, in what is left, every pair of different components is verified. Most large groups are one component by
-   then, so the last step is small; it is there so that no link is lost, and it has no cap.
+4. A shingle that only one of the sets in shared buckets has can be in no intersection, so the others (``able`` of ``n``) bound
+   a set's similarity to any partner, as a whole and in each of ``PARTS`` parts that shingles fall into by hash. Sets that cannot reach the limit with anyone go, which empties large groups of copies
+   that are each too far from all others.
+5. In each bucket all sets are tied to its smallest one and to the one with the largest able share: in a group of noisy
+   copies that is the cleanest copy, which links with nearly all that link at all. A set keeps the ``HUBS`` partners that it
+   meets in most of its buckets; those pairs are verified, and components of the links are found by star rounds.
+6. Where a bucket still holds several components, every pair of sets from different ones that the bound admits is verified,
+   once each: in the first bucket that the two share. Few are left by then; this step is there so that no link is lost, and it
+   has no cap.
+
+A pair is verified in two steps: the similarity estimated from the registers and corrected for their chance agreement must
+reach ``LEAST_ESTIMATE`` (5 standard deviations under 0.8); then the full shingle sets of both texts decide exactly.
 
 Null, empty and blank texts have empty sets and are linked with nothing, not even with each other. A text of fewer words than
 a shingle has its whole sequence as one. Repeated rows of a document count as exact copies of it. A row whose doc_id is null
@@ -33,7 +39,7 @@ from strandmill.llm.words import SPACED, U, mix, runs, sliced, small_batches, wh
 from strandmill.operators.components import components
 from strandmill.session import cut, ship
 
-REGISTERS, ROWS, LEAST_ESTIMATE, HUBS = 128, 4, 0.62, 16
+REGISTERS, ROWS, LEAST_ESTIMATE, HUBS = 128, 4, 0.62, 4
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Chance that registers of different minima agree: about a third for the leading zeros, 2**-10 for the rest.
 AGREE = 2**-10 / 3
@@ -108,7 +114,9 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - AGREE) / (1 - AGREE)
 
 
-SIGNED = "doc_id long, n long, s1 long, s2 long, sketch binary, bands array<long>"
+#: Parts into which hashes of shingles fall for the bound on intersections.
+PARTS = 64
+SIGNED = "doc_id long, n long, s1 long, s2 long, bands array<long>, parts array<int>"
 
 
 def signed(docs: DataFrame, shingle: int, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
@@ -120,33 +128,19 @@ def signed(docs: DataFrame, shingle: int, registers: int = REGISTERS, rows: int
             s = sketches(h, at, registers)
             bands = band_hashes(s, rows)
             d, width = bands.shape
+            parts = np.bincount(np.repeat(np.arange(d), n) * PARTS + (h % U(PARTS)).astype(np.int64), minlength=d * PARTS).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in two), pa.array([x.tobytes() for x in s], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(d + 1, dtype=np.int32) * width), pa.array(bands.reshape(-1).view(np.int64)))],
-                ["doc_id", "n", "s1", "s2", "sketch", "bands"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in two), pa.ListArray.from_arrays(pa.array(np.arange(d + 1, dtype=np.int32) * width), pa.array(bands.reshape(-1).view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(d + 1, dtype=np.int32) * PARTS), pa.array(parts))],
+                ["doc_id", "n", "s1", "s2", "bands", "parts"],
             )
 
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(task, SIGNED)
 
 
-def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose estimate is at least ``least``."""
-    sketch = reps.select("doc_id", "sketch")
-    both = pairs.join(sketch.toDF("b", "sketch_b"), "b").join(sketch.toDF("a", "sketch_a"), "a").select("a", "b", "sketch_a", "sketch_b")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if t.num_rows:
-                x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint16).reshape(t.num_rows, -1) for i in (2, 3))
-                yield t.select([0, 1]).filter(pa.array(estimate(x, y) >= least))
-
-    return both.mapInArrow(task, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * |intersection| >= percent * |union|, from the full sets of both texts."""
-    spark = docs.sparkSession
-    wanted = id_filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sent = spark.sparkContext.broadcast(wanted)
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, least: float = LEAST_ESTIMATE) -> DataFrame:
+    """Pairs (a, b) with 100 * |intersection| >= percent * |union|: estimated from sketches first, then from the full sets of
+    both texts. Only texts that a bounded filter of the pairs' ids lets through are shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id"))))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -154,23 +148,22 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
                 yield t.filter(pa.array(maybe(sent.value, t.column(0).to_numpy())))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    # a document's rows are alike in all but the rarest tables; one text of it is enough
     texts = small_batches(own).mapInArrow(some, "doc_id long, text string")
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sliced(sliced(batches, "text_b"), "text_a"):
-            column = t.column(2)
-            first = column.dictionary_encode()  # the same partner often stands in many rows
-            x, p = shingle_sets(first.dictionary, shingle)
-            which = first.indices.to_pylist()
-            y, q = shingle_sets(t.column(3), shingle)
-            keep = []
-            for i, j in enumerate(which):
-                u, v = x[p[j] : p[j + 1]], y[q[i] : q[i + 1]]
-                k = int(_common(u, v))
-                keep.append(len(u) > 0 and len(v) > 0 and 100 * k >= percent * (len(u) + len(v) - k))
-            yield t.select([0, 1]).filter(pa.array(keep))
+            sides = []
+            for i in (2, 3):
+                once = t.column(i).dictionary_encode()  # the same partner often stands in many rows
+                sides.append((*shingle_sets(once.dictionary, shingle), once.indices.to_numpy()))
+            (x, p, i), (y, q, j) = sides
+            near = estimate(sketches(x, p)[i], sketches(y, q)[j]) >= least
+            for row in np.flatnonzero(near).tolist():
+                u, v = x[p[i[row]] : p[i[row] + 1]], y[q[j[row]] : q[j[row] + 1]]
+                k = _common(u, v)
+                near[row] = len(u) > 0 and len(v) > 0 and 100 * k >= percent * (len(u) + len(v) - k)
+            yield t.select([0, 1]).filter(pa.array(near))
 
     return both.mapInArrow(task, "a long, b long")
 
@@ -179,14 +172,28 @@ def _common(u: np.ndarray, v: np.ndarray) -> int:
     if not len(u) or not len(v):
         return 0
     i = np.minimum(np.searchsorted(u, v), len(u) - 1)
-    return np.count_nonzero(u[i] == v)
+    return int(np.count_nonzero(u[i] == v))
+
+
+def _able(reps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """rep, n (the size of its set), able (how many of its shingles another of reps has too) and lone (the parts of the others)."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(reps.select(F.col("rep").alias("id"))))
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if t.num_rows:
+                for b in sliced(iter([t.filter(pa.array(maybe(sent.value, t.column(0).to_numpy())))])):
+                    h, at = shingle_sets(b.column(1), shingle)
+                    n = np.diff(at)
+                    owner = np.repeat(np.arange(b.num_rows), n)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(h.view(np.int64))], ["rep", "n", "shingle"])
 
-def _open(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components: key, rep, comp, size."""
-    now = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    several = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    return now.join(several, "key")
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # what the filter lets through in error only makes shingles look shared, which admits more
+    each = small_batches(own).mapInArrow(task, "rep long, n long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("times"), F.min("rep").alias("rep"), F.min("n").alias("n")).where("times = 1")
+    lone = alone.groupBy("rep", "n").agg(F.collect_list(F.pmod("shingle", F.lit(PARTS)).cast("byte")).alias("lone"))
+    return reps.join(lone, ["rep", "n"], "left").select("rep", "n", (F.col("n") - F.coalesce(F.size("lone"), F.lit(0))).alias("able"), "lone")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -194,40 +201,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ship(docs.sparkSession)
     every = cut(signed(docs, shingle), "signed")
     real = every.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    chosen = classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2").join(real.select("doc_id", "n", "s1", "s2", "sketch", "bands"), ["doc_id", "n", "s1", "s2"]).dropDuplicates(["doc_id"])
-    reps = cut(chosen.select("doc_id", "sketch", "bands"), "reps")
-    exploded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    members = cut(exploded.join(shared, "key").select("key", "rep", "hub"), "members")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        alike = cut(_alike(pairs.distinct(), reps, LEAST_ESTIMATE), "alike")
-        return cut(_confirmed(alike, docs, shingle, percent), "links")
-
-    found = links(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+    classes = cut(real.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "bands", "parts")).alias("least")).select("n", "s1", "s2", F.col("least.doc_id").alias("rep"), "least.bands", "least.parts"), "classes")
+    exploded = classes.select("rep", F.explode("bands").alias("key"))
+    shared = exploded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
+    members = cut(exploded.join(shared, "key"), "members")
+    able = _able(classes.select("rep", "n").join(members.select("rep").distinct(), "rep"), docs, shingle)
+    able = cut(able.where(100 * F.col("able") >= percent * F.col("n")), "able")
+    members = cut(members.join(able.drop("lone"), "rep"), "members")
+    hubs = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max(F.struct((F.col("able") / F.col("n")).alias("share"), "rep")).alias("best")).select("key", F.array_distinct(F.array("lo", "best.rep")).alias("hubs"))
+    met = members.join(hubs, "key").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").groupBy("rep").agg(F.collect_list("hub").alias("met"))
+    ranked = F.expr(f"slice(array_sort(transform(array_distinct(met), h -> struct(-size(filter(met, x -> x = h)) as times, h as hub))), 1, {HUBS})")
+    first = cut(met.select("rep", F.explode(ranked).alias("x")).select(F.least("rep", "x.hub").alias("a"), F.greatest("rep", "x.hub").alias("b")).distinct(), "pairs")
+    found = cut(_confirmed(first, docs, shingle, percent), "links")
     label = cut(components(found), "labels")
-    # further hubs of buckets with several components
-    part = F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(HUBS))
-    still = cut(_open(members, label), "open")
+    # what is left: pairs of different components that share a bucket
+    named = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    still = cut(named.join(several, "key"), "open")
     if not still.isEmpty():
-        for last in (False, True):
-            if last:
-                other = still.select("key", F.col("rep").alias("a"), F.col("comp").alias("comp_a"))
-                pairs = other.join(still.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b")), "key").where("comp_a < comp_b")
-            else:
-                hubs = still.groupBy("key", part.alias("part")).agg(F.min(F.struct("rep", "comp")).alias("hub")).select("key", F.col("hub.rep").alias("a"), F.col("hub.comp").alias("comp_a"))
-                pairs = still.select("key", F.col("rep").alias("b"), F.col("comp").alias("comp_b")).join(hubs, "key").where("comp_a <> comp_b")
-            more = links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            if not more.isEmpty():
-                found = found.union(more)
-                label = cut(components(found), "labels")
-                if not last:
-                    still = cut(_open(members, label), "open")
-                    if still.isEmpty():
-                        break
+        # how many shared shingles of each set fall into each part: part by part, an intersection has at most the smaller number
+        shares = F.expr("transform(parts, (p, i) -> p - if(lone is null, 0, size(filter(lone, x -> x = pmod(i, 64)))))")
+        sides = classes.select("rep", "bands", "parts").join(still.select("rep").distinct(), "rep").join(able.select("rep", "lone"), "rep").select("rep", "bands", shares.alias("shares"))
+        full = still.join(cut(sides, "sides"), "rep")
+        one, two = (full.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "comp", "n", "able", "bands", "shares")]) for x in "ab")
+        here = F.expr("element_at(filter(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)), x -> x is not null), 1)")
+        admitted = (100 + percent) * F.least("able_a", "able_b") >= percent * (F.col("n_a") + F.col("n_b"))
+        common = F.expr(f"{100 + percent} * aggregate(zip_with(shares_a, shares_b, (x, y) -> least(x, y)), 0, (t, x) -> t + x) >= {percent} * (n_a + n_b)")
+        pairs = one.join(two, "key").where("comp_a < comp_b").where(admitted).where(here == F.col("key")).where(common).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+        pairs = cut(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+        more = cut(_confirmed(pairs, docs, shingle, percent), "links")
+        if not more.isEmpty():
+            label = cut(components(found.union(more)), "labels")
     final = label.select(F.col("node").alias("rep"), "component")
-    named = classes.join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     slim = every.select("doc_id", "n", "s1", "s2")
     linked = slim.where("n > 0 and doc_id is not null").join(named, ["n", "s1", "s2"]).select("doc_id", "n", "component_id")
     alone = slim.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
