@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from strandmill.functions.sequence import generate_kmers
 
 
+def spread(reads: DataFrame) -> DataFrame:
+    """The same rows over all cores. A file is one row group or a gzip stream at worst, and so one task, while its k-mers are
+    many times its size; tables of enough partitions are left as they are."""
+    cores = reads.sparkSession.sparkContext.defaultParallelism
+    return reads.repartition(2 * cores) if reads.rdd.getNumPartitions() < 2 * cores else reads
+
+
 def read_kmers(reads: DataFrame, k: int, canonical: bool = True, errors: str = "N") -> DataFrame:
     """(kmer, id): each k-mer of a read once. Sets are made within rows, so no shuffle is needed for it."""
     if k < 1:
         raise ValueError("k must be positive")
+    if not reads.isStreaming:
+        reads = spread(reads)
     return reads.select("id", F.explode(generate_kmers("seq", k, errors, canonical)).alias("kmer")).select("kmer", "id")
 
 
