@@ -16,7 +16,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C17 | 3  # odd, and 3 modulo 4
 INVERSE = pow(BASE, -1, 2**64)
 #: Text bytes that one pass of the numpy code handles; a longer text is handled alone.
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
