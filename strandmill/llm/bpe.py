@@ -23,14 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm import pieces
-from strandmill.llm.words import BYTE_VALUES, U, buffer, mix, sliced, small_batches, spans, sums
+from strandmill.llm.words import BYTE_VALUES, KEPT, U, buffer, mix, sliced, small_batches, spans, sums
 from strandmill.session import ship
 
 CHUNK_BYTES = 128
-#: Bytes of text encoded together: large enough that table look-ups weigh little.
-TEXTS = 2 << 20
 #: Ids in a worker's table of chunk bodies.
-MOST_BODY_IDS = 8 << 20
+MOST_BODY_IDS = 4 << 20
 SPECIAL = "<|endoftext|>"
 _WINDOW = 8
 
@@ -151,6 +149,7 @@ def byte_letters() -> dict[int, str]:
 
 
 _coders: dict[tuple[str, int], Coder] = {}
+KEPT.append(_coders)
 
 
 def coder(path: str, chunk_bytes: int = CHUNK_BYTES) -> Coder:
@@ -166,7 +165,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTE
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(tokenizer, chunk_bytes)
-        for b in sliced(batches, "text", TEXTS):
+        for b in sliced(batches, "text", keep=True):
             ids, count = own.encode(b.column("text"))
             at = np.concatenate([[0], np.cumsum(count)])
             flat, ends = ids.astype("<u4").tobytes(), (4 * at).tolist()

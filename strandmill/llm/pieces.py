@@ -10,8 +10,10 @@ import os
 
 import numpy as np
 
+from strandmill.llm.words import KEPT
+
 #: Characters of one call to the library, and pieces kept by a Python worker before its table starts anew (24 bytes or so each).
-CALL_CHARS, MOST_PIECES = 60_000, 1_500_000
+CALL_CHARS, MOST_PIECES = 60_000, 1_000_000
 
 
 class Table:
@@ -115,6 +117,7 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
+KEPT.append(_encoders)
 
 
 def encoder(path: str, between: str) -> Encoder:

@@ -136,7 +136,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, vocabulary: int, end_id: int
             piece, held, n = piece + 1, [], 0
             return pa.RecordBatch.from_pylist([row], schema=pa.schema([("path", pa.string()), ("part", pa.int32()), ("piece", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-        for b in sliced(batches, "text", 2 << 20):
+        for b in sliced(batches, "text", 2 << 20, keep=True):
             ids, count = encoded(b.column("text"), tokenizer, end_id)
             key = b.column("doc_id")
             held.append((key.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), key.is_null().to_numpy(zero_copy_only=False), count, ids.astype(np.uint16 if bits <= 16 else np.uint32)))

@@ -6,6 +6,7 @@ difference of prefix sums and then mixed with the word's length.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -155,8 +156,29 @@ def whole(h: np.ndarray, k: int) -> int:
         return int(mix(np.array([s + U(len(h)) * U(0x9E3779B97F4A7C15)], np.uint64))[0])
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of text; a longer text comes alone."""
+#: Tables that operators keep in a Python worker from task to task.
+KEPT: list[dict] = []
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle workers stay, and what they hold counts against their executor."""
+    global _powers, _inverses
+    if len(_powers) > CHUNK + 1:
+        _powers, _inverses = _powers[: CHUNK + 1].copy(), _inverses[: CHUNK + 1].copy()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text; a longer text comes alone.
+
+    Tables that earlier tasks kept in this worker go first, unless ``keep``.
+    """
+    if not keep:
+        for kept in KEPT:
+            kept.clear()
     for b in batches:
         if not b.num_rows:
             continue
@@ -166,6 +188,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    give_back()
 
 
 def small_batches(df, rows: int = 1000):
