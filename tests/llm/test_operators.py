@@ -181,6 +181,31 @@ def test_random_strings_are_found(spark, docs):
     assert got[1].startswith("random:4:") and not got[2] and not got[3]
 
 
+def test_random_values_after_equals_signs(spark, docs):
+    """Brute force: every maximal run of key characters is scored, whatever stands before it."""
+    key, ratios = "Zk3vQ9xLw2Rt8YbN5mHs7DpG1cJf0aXe", secret_scan.train(secret_scan.samples(docs))
+    texts = [f"auth={key}", f"get /a?sig={key}&n=1 x", f"sig: {key}", f"A={key}==B={key}", f"x=={key}= y", f"mode=get_current_session_from_config_file k={key[:19]}", f"{key}={key}"]
+    want = []
+    for i, t in enumerate(texts):
+        spans, at = [], 0
+        while at < len(t):
+            end = at
+            while end < len(t) and re.match(r"[A-Za-z0-9+/_-]", t[end]):
+                end += 1
+            if end - at >= 20:
+                pad = end
+                while pad < min(len(t), end + 2) and t[pad] == "=":
+                    pad += 1
+                w = t[at:pad]
+                if sum(ratios[(ord(a) - 33) * 94 + ord(b) - 33] for a, b in zip(w, w[1:], strict=False)) / (len(w) - 1) >= secret_scan.THRESHOLD:
+                    spans.append(f"random:{at}:{pad}")
+            at = max(end, at + 1)
+        want.append((i, ",".join(spans)))
+    got = secret_scan.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secret_scan.samples(docs))
+    assert bag(got.select("doc_id", "spans")) == Counter(want)
+    assert all(s for i, s in want if i != 5) and not want[5][1]
+
+
 def test_personal_data(docs, empty):
     got = {r.doc_id: r for r in pii.personal(docs).collect()}
     assert (got[17].n_email, got[17].n_ip, got[17].n_card, got[17].n_phone) == (1, 1, 1, 1)
