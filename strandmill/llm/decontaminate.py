@@ -8,11 +8,13 @@ the window would start (the positional bound); it must lie within the document (
 compared.
 
 The benchmark is taken in blocks of at most ``block_bytes`` of text, measured before anything is sent out. Documents are read
-once for each block and never shuffled; the hits of several blocks are brought together by ``doc_id``.
+once for each block. With one block they are never shuffled. What is hit depends on a text alone, so the hits of further
+blocks are brought together by the SHA-256 of texts and joined to the rows of the first one: several blocks give the same rows
+as one.
 
 Nulls have no words: a null text has no hits, a null item none either. An item or a document without words is not
-contaminated. Repeated items hit like single ones, each under its own id; repeated documents are kept as long as one block
-holds the benchmark, and joined under their id else. Other columns are ignored.
+contaminated. Repeated items hit like single ones, each under its own id; repeated documents are kept, and so are those
+without an id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from strandmill.llm.pieces import take
@@ -187,10 +189,22 @@ def hits(docs: DataFrame, items: list[Row], size: int = SIZE, shingle: int = SHI
     return small_batches(source).mapInArrow(task, HITS + kinds)
 
 
+def covered(spans: Column) -> Column:
+    """The ranges that spans cover, apart from one another and in order; what overlaps or touches is one range."""
+    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(s["start"] <= last["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), none, step)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted), spans, contaminated; a row for each document.
+    """doc_id, n_words, n_hit, n_items, items (sorted), spans, contaminated; a row for each row of docs.
 
-    keep carries other columns of docs along; it needs a benchmark of one block.
+    keep carries other columns of docs along.
     """
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -198,13 +212,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, shing
     if blocks == 1:
         found = hits(docs, items.collect(), size, shingle, keep)
     else:
-        if keep:
-            raise ValueError("a benchmark of several blocks carries no other columns")
-        parts = [hits(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect(), size, shingle) for i in range(blocks)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        found = every.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # spans of several blocks may overlap: words beyond what the spans before have reached
-    n_hit = F.expr("aggregate(spans, struct(0L as n, 0L as reached), (a, s) -> struct(a.n + greatest(0L, s.end - greatest(s.start, a.reached)) as n, greatest(a.reached, s.end) as reached), a -> a.n)")
+        named = docs.withColumn("_text_key", F.sha2("text", 256))
+        block = lambda i: items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()
+        found = hits(named, block(0), size, shingle, [*(keep or []), "_text_key"])
+        more = None
+        for i in range(1, blocks):
+            # equal texts have equal hits
+            part = hits(named, block(i), size, shingle, ["_text_key"]).where(F.size("spans") > 0).groupBy("_text_key").agg(F.first("spans").alias("_spans"), F.first("items").alias("_items"))
+            more = part if more is None else more.unionByName(part)
+        more = more.groupBy("_text_key").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_items")).alias("_items"))
+        both = lambda own, other: F.when(F.col(other).isNull(), F.col(own)).otherwise(F.concat(own, other))
+        found = found.join(more, "_text_key", "left").select("doc_id", "n_words", covered(both("spans", "_spans")).alias("spans"), F.array_sort(F.array_distinct(both("items", "_items"))).alias("items"), *[c for c in keep or [] if c != "doc_id"])
+    n_hit = F.expr("aggregate(spans, 0L, (a, s) -> a + s.end - s.start)")
     return found.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

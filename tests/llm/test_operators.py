@@ -121,6 +121,35 @@ def test_contamination(spark, docs, rows, empty):
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_contamination_in_several_blocks(spark):
+    """Several blocks give the rows of one, with repeated rows, rows without an id, two texts of one id and other columns."""
+    words = [f"w{i}" for i in range(80)]
+    items = [(i, " ".join(words[a : a + 13])) for i, a in enumerate([0, 8, 13, 26, 30, 60])] + [(6, "lone pair"), (7, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [" ".join(words), " ".join(words[:13]), "x lone pair y", "clean text", None, "", " ".join(words[:26]) + " " + "pad " * 900]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (1, texts[2]), (None, texts[0]), (None, texts[0]), (None, texts[3]), (None, None), (None, texts[6])]
+    df = spark.createDataFrame([(i, t, f"s{n % 3}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    flat = lambda d: Counter(str(r.asDict(recursive=True)) for r in d.collect())
+    one = decontaminate.contamination(df, bench, keep=["text", "source"])
+    assert one.count() == len(rows) and one.where("contaminated").count() == 7
+    for size in (40, 150):
+        several = decontaminate.contamination(df, bench, block_bytes=size, keep=["text", "source"])
+        assert several.columns == one.columns and flat(several) == flat(one)
+        assert flat(decontaminate.contamination(df, bench, block_bytes=size)) == flat(decontaminate.contamination(df, bench))
+
+
+def test_pipeline_with_a_benchmark_of_several_blocks(spark, docs, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    base = str(tmp_path)
+    shared = [f"shared{i}" for i in range(70)]
+    spark.createDataFrame([(i, " ".join(shared[i : i + 20])) for i in range(0, 50, 5)], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    want = bag(corpus_pipeline.drop_contaminated(spark, docs, base))
+    whole = decontaminate.contamination
+    monkeypatch.setattr(decontaminate, "contamination", lambda *a, **k: whole(*a, block_bytes=300, **k))
+    assert bag(corpus_pipeline.drop_contaminated(spark, docs, base)) == want and 0 < sum(want.values()) < docs.count()
+
+
 def test_token_files(docs, rows, empty):
     from tokenizers import Tokenizer
 
