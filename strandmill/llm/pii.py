@@ -1,6 +1,9 @@
 """Personal data: base patterns, and identifiers found by bootstrapping lexical contexts.
 
-Base matches are seeds. Every token with ``DIGITS`` or more digits is an instance, and the word before it is its pattern.
+Base matches are seeds. A token is a run of characters other than white space. Every token with ``DIGITS`` or more digits is an
+instance, and the token before it, of whatever length and behind whatever white space, is its pattern: the empty string at a
+text's start. Where a token begins with a name up to ':' or '=' and what follows has the digits, the name with its sign is the
+pattern, and what follows is the instance. Patterns are compared in lower case.
 Spark builds the bipartite graph of patterns and instances over all documents and scores it in rounds: a pattern's score is
 the mean score of its distinct instances, damped by how few of them are positive, and an instance's score is that of its best
 trusted pattern. Instances of trusted patterns that no base pattern matches are added as kind ``found``. All steps are
@@ -24,7 +27,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-INSTANCE = r"(?<!\S)([^\s0-9]{2,24}+)\s([^\s]*[0-9][^\s]*)"
+TOKEN = r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){%d})\S++"
+LAST = r"(?<!\S)(\S++)\s*+\z"
+NAMED = r"^([^\s0-9:=][^\s:=]*+[:=]++)\S"
 KINDS = ("email", "ip", "card", "phone")
 
 DIGITS, ROUNDS, TRUST, SUPPORT = 5, 3, 0.7, 5
@@ -53,6 +58,29 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[tagged(x, k, i) for i, (x, k) in enumerate(zip(found, KINDS, strict=True))])
 
 
+def instances(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """docs (with text, never null) with seen: array<struct<start, end, pattern, instance>> of all instances in their order."""
+    token = TOKEN % digits
+    found = matches(F.col("text"), token)
+    # what lies before each token, since the one before it
+    before = F.when(F.col("text").rlike(token), F.transform(F.split("text", token, -1), lambda x: F.regexp_extract(x, LAST, 1)))
+    many = lambda x: F.length(F.regexp_replace(x, "[^0-9]", "")) >= digits
+
+    def named(s: Column, i: Column) -> Column:
+        name = F.regexp_extract(s["match"], NAMED, 1)
+        rest = F.substr(s["match"], F.length(name) + 1)
+        last = F.get("_before", i)
+        # no token between: the one before is an instance itself, or there is none
+        last = F.when(F.length(last) > 0, last).otherwise(F.coalesce(F.get("_tokens", i - 1)["match"], F.lit("")))
+        own = (F.length(name) > 0) & many(rest)
+        return F.struct(
+            F.when(own, s["start"] + F.length(name)).otherwise(s["start"]).alias("start"), s["end"].alias("end"),
+            F.lower(F.when(own, name).otherwise(last)).alias("pattern"), F.when(own, rest).otherwise(s["match"]).alias("instance"),
+        )
+
+    return docs.withColumns({"_tokens": found, "_before": before}).withColumn("seen", F.transform("_tokens", named)).drop("_tokens", "_before")
+
+
 def bootstrapped(instances: DataFrame, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
     """Trusted patterns (pattern, score) of a graph of rows (pattern, instance, seed)."""
     edges = cut(instances.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("int")).alias("seed")), "edges")
@@ -71,15 +99,12 @@ def bootstrapped(instances: DataFrame, rounds: int = ROUNDS, trust: float = TRUS
 def private_data(docs: DataFrame, digits: int = DIGITS, rounds: int = ROUNDS, trust: float = TRUST, support: int = SUPPORT) -> DataFrame:
     """doc_id, base and found spans (array<struct<order, start, end, kind>>, by kind as listed, then start)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), base_spans(text).alias("base"), matches(text, INSTANCE, 2).alias("seen"))
+    rows = instances(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")), digits).select("doc_id", F.xxhash64("text").alias("key"), base_spans(F.col("text")).alias("base"), "seen")
     rows = cut(
         rows.select(
             "doc_id", "key",
             F.array_sort(F.transform("base", lambda s: F.struct(s["order"].alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("base"),
-            F.transform(
-                F.filter("seen", lambda s: F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= digits),
-                lambda s: F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), F.lower(F.substring_index(F.regexp_replace(s["match"], r"\s", " "), " ", 1)).alias("pattern"), s["value"].alias("instance")),
-            ).alias("seen"),
+            "seen",
         ),
         "pii",
     )

@@ -248,6 +248,42 @@ def test_bootstrapping_finds_new_identifiers(spark):
     assert "found:13:24" in got[100] and got[101] == ""
 
 
+def test_all_digit_tokens_are_instances(spark):
+    """Brute force over tokens: their places, patterns and values."""
+    texts = ["account = XK-993217-B", "account # 993217", "account  993217", "993217 first", "x\n\t 12345\u00a0y 67890", "a" * 40 + " 993217", "room7 993217, then 1-2-3-4-5 end", "see account:XK-993217 and ID=993217;", "was9=993217 a:b=12345 :12345 2001:0db8:85a3 12:34:56 http://h/1?q=23456 k=1", "one 1234 two", "", "  \n ", "🎉 n: 55555 é=55555\n", "12345 23456 34567"]
+    want = []
+    for i, t in enumerate(texts):
+        tokens, at = [], 0
+        for part in re.split(r"([ \t\n\x0B\f\r]+)", t):
+            if part.strip(" \t\n\x0B\f\r"):
+                tokens.append((at, part))
+            at += len(part)
+        for j, (at, w) in enumerate(tokens):
+            many = lambda x: sum(c in "0123456789" for c in x) >= 5
+            if not many(w):
+                continue
+            pattern, cut = tokens[j - 1][1] if j else "", 0
+            signs = [k for k, c in enumerate(w) if c in ":="]
+            if signs and signs[0] > 0 and w[0] not in "0123456789":
+                k = signs[0]
+                while k < len(w) and w[k] in ":=":
+                    k += 1
+                if many(w[k:]):
+                    pattern, cut = w[:k], k
+            want.append((i, at + cut, at + len(w), pattern.lower(), w[cut:]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert bag(pii.instances(df).select("doc_id", F.inline("seen"))) == Counter(want)
+    assert len(want) > 20
+
+
+def test_bootstrapping_after_any_token(spark):
+    before = ["account = ", "number  ", "", "a" * 40 + " ", "room7 ", "code:", "see\n\n# ", "mark="]
+    rows = [(100 * k + i, f"{b}10.20.{i}.77 today") for k, b in enumerate(before) for i in range(30)]
+    rows += [(1000 + k, f"{b}XK-993217-{k} was closed") for k, b in enumerate(before)] + [(2000, "nothing 1234567 here")]
+    got = {r.doc_id: r.spans for r in pii.personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[1000 + k] for k in range(len(before))] == [f"found:{len(b)}:{len(b) + 11}" for b in before] and got[2000] == ""
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: [m.license for m in r.matches] for r in license_scan.licenses(docs).collect()}
     assert got[20] == ["apache-2.0", "mit"] and got[3] == [] and got[9] == []
