@@ -1,9 +1,11 @@
 """Secrets in texts: fixed patterns, and strings that a character Markov model finds random rather than ordinary.
 
 Two first-order Markov models over printable ASCII are trained from labelled samples, one of random strings and one of
-ordinary identifiers. Their transition counts are one aggregation, at most 2 * 94**2 rows. A string of ``LEAST`` or more key
+ordinary identifiers with the words of all documents. Words are aggregated, then their transitions, to at most 94**2 rows for
+each label and weight. A string of ``LEAST`` or more key
 characters is a secret if the mean log-likelihood ratio of its transitions reaches ``THRESHOLD``; spans that overlap those of
-the fixed patterns are left to them. Everything runs as column expressions in one pass over the texts, with no shuffle.
+the fixed patterns are left to them. Everything runs as column expressions; training shuffles distinct words, and the scan is
+one pass over the texts with no shuffle.
 
 Null texts have no spans, and repeated rows are kept. Other columns are ignored, but ``keep`` carries them along.
 """
@@ -36,11 +38,12 @@ service request response session context public private static final return impo
 """.split()
 
 
-def samples(docs: DataFrame, n: int = 4000, sample_docs: int = 1000) -> DataFrame:
-    """(text, random): n labelled strings of either kind.
+def samples(docs: DataFrame, n: int = 4000, worth: int = 1000) -> DataFrame:
+    """(text, random, weight): n labelled strings of either kind, and the words of all documents.
 
-    Random ones are digests in several alphabets; ordinary ones are joined from common words, and words of about
-    ``sample_docs`` documents (by the hash of doc_id) stand beside them.
+    Random ones are digests in several alphabets; ordinary ones are joined from common words, and the words stand beside them.
+    Every document counts, all alike: beyond ``worth`` documents each weighs less, so that all together weigh as much as
+    ``worth`` average ones and the made identifiers keep their share at every size.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -53,19 +56,22 @@ def samples(docs: DataFrame, n: int = 4000, sample_docs: int = 1000) -> DataFram
     word = lambda i: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), F.lit(i)), F.lit(len(COMMON))) + 1).cast("int"))
     ordinary = [F.concat_ws("_", word(1), word(2), word(3), word(4)), F.concat(word(1), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4))), F.upper(F.concat_ws("_", word(1), word(2), word(3))), F.concat_ws("/", word(1), word(2), word(3), word(4)), F.concat(F.concat_ws("-", word(1), word(2), word(3)), F.lit("-"), F.pmod(F.col("id"), F.lit(100)).cast("string"))]
     plain = ids.select(F.element_at(F.array(*ordinary), (F.pmod(F.col("id"), F.lit(5)) + 1).cast("int")).alias("text"), F.lit(False).alias("random"))
-    every = max(1, docs.count() // sample_docs)
-    own = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z])[A-Za-z]{6,40}+"), F.lit(0))).alias("text"), F.lit(False).alias("random"))
-    return random.union(plain).union(own)
+    weight = worth / max(worth, docs.count())
+    own = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z])[A-Za-z]{6,40}+"), F.lit(0))).alias("text"), F.lit(False).alias("random"))
+    return random.union(plain).withColumn("weight", F.lit(1.0)).union(own.withColumn("weight", F.lit(weight)))
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """Log-likelihood ratios of transitions, for codes (a - 33) * 94 + (b - 33)."""
+    """Log-likelihood ratios of transitions, for codes (a - 33) * 94 + (b - 33). A string counts by its weight, 1 if none is given."""
     code = lambda c: F.ascii(c) - _LOW
-    pairs = labelled.where(F.length("text") > 1).select("random", F.explode(F.expr("transform(sequence(1, length(text) - 1), i -> substring(text, i, 2))")).alias("p"))
-    counted = pairs.groupBy("random", "p").agg(F.count("*").alias("n")).select("random", code(F.substring("p", 1, 1)).alias("a"), code(F.substring("p", 2, 1)).alias("b"), "n")
+    weight = F.col("weight") if "weight" in labelled.columns else F.lit(1.0)
+    strings = labelled.where(F.length("text") > 1).select("random", "text", weight.alias("weight")).groupBy("random", "text", "weight").agg(F.count("*").alias("n"))
+    pairs = strings.select("random", "weight", "n", F.explode(F.expr("transform(sequence(1, length(text) - 1), i -> substring(text, i, 2))")).alias("p"))
+    # whole counts until here, so sums do not depend on their order
+    counted = pairs.groupBy("random", "p", "weight").agg(F.sum("n").alias("n")).select("random", code(F.substring("p", 1, 1)).alias("a"), code(F.substring("p", 2, 1)).alias("b"), "weight", "n")
     counts = {True: [[0.5] * _WIDTH for _ in range(_WIDTH)], False: [[0.5] * _WIDTH for _ in range(_WIDTH)]}
-    for r in counted.where(f"a between 0 and {_WIDTH - 1} and b between 0 and {_WIDTH - 1}").collect():
-        counts[r.random][r.a][r.b] += r.n
+    for r in sorted(counted.where(f"a between 0 and {_WIDTH - 1} and b between 0 and {_WIDTH - 1}").collect()):
+        counts[r.random][r.a][r.b] += r.weight * r.n
     out = []
     for a in range(_WIDTH):
         yes, no = sum(counts[True][a]), sum(counts[False][a])

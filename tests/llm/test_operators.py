@@ -235,6 +235,26 @@ def test_random_values_after_equals_signs(spark, docs):
     assert all(s for i, s in want if i != 5) and not want[5][1]
 
 
+def test_ratios_count_all_documents(spark):
+    """Brute force: with 2,500 documents, every word's transitions count, by their weight."""
+    import math
+
+    texts = [f"rare{chr(97 + i % 26)}qz{chr(97 + i // 26 % 26)}x word number {i}" for i in range(2500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = secret_scan.samples(df.where("false")).collect()
+    counts = {True: Counter(), False: Counter()}
+    for text, random, n in [(m.text, m.random, 1.0) for m in made] + [(w, False, 1000 / 2500) for t in texts for w in re.findall("[A-Za-z]{6,40}", t)]:
+        for pair in zip(text, text[1:], strict=False):
+            counts[random][pair] += n
+    got = secret_scan.train(secret_scan.samples(df))
+    chars = [chr(33 + i) for i in range(94)]
+    for a in "eqzr_A9":
+        yes, no = (sum(counts[k][a, b] + 0.5 for b in chars) for k in (True, False))
+        for b in chars:
+            want = math.log((counts[True][a, b] + 0.5) / yes) - math.log((counts[False][a, b] + 0.5) / no)
+            assert abs(got[(ord(a) - 33) * 94 + ord(b) - 33] - want) < 1e-9
+
+
 def test_personal_data(docs, empty):
     got = {r.doc_id: r for r in pii.personal(docs).collect()}
     assert (got[17].n_email, got[17].n_ip, got[17].n_card, got[17].n_phone) == (1, 1, 1, 1)
