@@ -23,9 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest doc_id."""
+    """One document of each group of near-duplicates stays: that with the smallest doc_id. Of rows with equal doc_id and text one
+    stays, whatever the text; rows without a doc_id all stay, and so do different texts under the smallest doc_id."""
     gone = near_dedup.near_duplicates(docs, shingle=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return id_filter.without(docs, cut(gone, "gone")).select(*COLUMNS)
+    left = id_filter.without(docs, cut(gone, "gone")).select(*COLUMNS)
+    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    return left if again.isEmpty() else id_filter.single(left, again).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,10 +61,10 @@ def xxhash64(ids: np.ndarray, seed: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in ``gone`` (doc_id). Only rows that a bounded filter takes for gone are shuffled."""
+def parted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two parts: the rows whose doc_id a bounded filter takes for one of ``ids`` (doc_id), and the others."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(id_filter(gone.select(F.col("doc_id").alias("id"))))
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(ids.select(F.col("doc_id").alias("id"))))
 
     def part(want: bool):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,4 +76,19 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
         return small_batches(docs).mapInArrow(task, docs.schema)
 
-    return part(False).unionByName(part(True).join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return part(True), part(False)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in ``gone`` (doc_id). Only rows that a bounded filter takes for gone are shuffled."""
+    there, others = parted(docs, gone)
+    return others.unionByName(there.join(gone, "doc_id", "left_anti").select(*docs.columns))
+
+
+def single(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id and text among the rows whose doc_id is in ``again`` (doc_id), that with the smallest
+    other columns. Only rows that a bounded filter takes for those are shuffled; rows without a doc_id stay."""
+    there, others = parted(docs, again)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = there.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_rest"))
+    return others.unionByName(one.select("doc_id", "text", "_rest.*"))

@@ -353,3 +353,14 @@ def test_pipeline(spark, docs, tmp_path):
     # near copies of smaller ids go (14, 15 and 16 share all but a few words), and so do the passage's documents
     assert got == {None, 1, 3, 4, 5, 6, 8, 9, 14, 17, 18, 19, 20, 21, 22}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "secrets", "bpe"]
+
+
+def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"term{i}" for i in range(50))
+    rows = [(1, long), (1, long), (2, long), (3, "short one"), (3, "short one"), (3, "other text"), (4, None), (4, None), (5, "single"), (None, "free"), (None, "free")]
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", 1) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert bag(got.select("doc_id", "text")) == Counter([(1, long), (3, "short one"), (3, "other text"), (4, None), (5, "single"), (None, "free"), (None, "free")])
+    assert got.columns == corpus_pipeline.COLUMNS and got.where("doc_id = 1").first().source == "s0"
