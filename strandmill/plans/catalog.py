@@ -156,7 +156,7 @@ def label_rounds(spark, sf_dir):
 
 @query()
 def label_propagation(spark, sf_dir):
-    return overlap.label_propagation(document_edges(spark, sf_dir), most_rounds=50, mode="as_written").select("node", "label")
+    return overlap.label_propagation(document_edges(spark, sf_dir), mode="as_written").select("node", "label")
 
 
 _ZONES = _EDGES + "b AS (SELECT src AS v, dst AS u FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT DISTINCT v, v AS z FROM b UNION SELECT b.u, r.z FROM r JOIN b ON b.v = r.v WHERE r.z < b.u), zones AS (SELECT v, min(z) AS zone FROM r GROUP BY v), "

@@ -101,3 +101,26 @@ def test_registered_queries_have_names():
     import __spark_entry__ as e
 
     assert len(e.queries()) > 40 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_label_propagation_takes_the_default_rounds(monkeypatch):
+    import inspect
+
+    from strandmill.plans import catalog
+
+    kind, seen = inspect.signature(catalog.overlap.label_propagation), {}
+
+    class Rows:
+        def select(self, *columns):
+            return self
+
+    def spy(*a, **k):
+        bound = kind.bind(*a, **k)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return Rows()
+
+    monkeypatch.setattr(catalog, "document_edges", lambda spark, sf_dir: None)
+    monkeypatch.setattr(catalog.overlap, "label_propagation", spy)
+    catalog.QUERIES["label_propagation"](None, "")
+    assert seen["most_rounds"] == 300 and seen["mode"] == "as_written"
