@@ -119,6 +119,15 @@ def relaxed(state: DataFrame, edges: DataFrame) -> DataFrame:
     return state.unionByName(step).groupBy("v").agg(F.min(F.struct("dist", "pred")).alias("m")).select("v", "m.dist", "m.pred")
 
 
+def sources(edges: DataFrame, n: int, seed: int) -> list[int]:
+    """n vertices of edges (vi, vj) drawn by the seed, all of them if there are fewer: those with the smallest seeded hashes."""
+    every = edges.select(F.col("vi").alias("v")).union(edges.select(F.col("vj").alias("v"))).distinct()
+    drawn = [r.v for r in every.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(n).collect()]
+    if not drawn:
+        raise ValueError("no sources: the graph is empty or n is not positive")
+    return drawn
+
+
 def sssp(edges: DataFrame, source: int, most_rounds: int = 10_000) -> DataFrame:
     """(v, dist, pred) of all vertices that directed edges (vi, vj, w >= 0) reach from a source. Ties: the smaller predecessor.
 

@@ -30,8 +30,8 @@ COMMANDS: dict[str, tuple[list[Callable], Callable]] = {
     "neighbor": ([E], lambda i, p: graph.neighbors(i[0])),
     "neigh_tri": ([E], lambda i, p: graph.neighbors_with_triangles(i[0])),
     "pagerank": ([W], lambda i, p: graph.pagerank(i[0], int(p[1]), float(p[2]), float(p[0]))),
-    "sssp": ([W], lambda i, p: graph.sssp(i[0], int(p[0]))),
-    "sssp2": ([W], lambda i, p: graph.sssp(i[0], int(p[0]))),
+    "sssp": ([W], lambda i, p: graph.sssp(i[0], graph.sources(i[0], int(p[0]), int(p[1]))[-1])),
+    "sssp2": ([W], lambda i, p: graph.sssp(i[0], graph.sources(i[0], int(p[0]), int(p[1]))[-1])),
     "tri_find": ([E], lambda i, p: graph.triangles(i[0])),
     "vertex_extract": ([W], lambda i, p: graph.vertex_extract(i[0])),
     "wordfreq": ([readers.lines], lambda i, p: wordfreq.top_words(i[0], int(p[0])) if p and int(p[0]) else wordfreq.word_counts(i[0])),

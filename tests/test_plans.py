@@ -124,3 +124,16 @@ def test_label_propagation_takes_the_default_rounds(monkeypatch):
     monkeypatch.setattr(catalog.overlap, "label_propagation", spy)
     catalog.QUERIES["label_propagation"](None, "")
     assert seen["most_rounds"] == 300 and seen["mode"] == "as_written"
+
+
+def test_sssp_command_draws_sources(spark):
+    from strandmill.operators import graph
+
+    edges = spark.createDataFrame([(i, (i + 1) % 20, 1.0) for i in range(20)], "vi long, vj long, w double")
+    w = Workspace(spark)
+    w.set("e", edges)
+    picks = {seed: graph.sources(edges, 3, seed) for seed in range(1, 6)}
+    assert all(len(set(p)) == 3 and set(p) <= set(range(20)) for p in picks.values()) and len({p[-1] for p in picks.values()}) > 1
+    assert graph.sources(edges, 3, 2) == picks[2] and sorted(graph.sources(edges, 99, 2)) == list(range(20))
+    got = {r.v: r.dist for r in w.run("sssp", 3, 2, i=["e"]).collect()}
+    assert got == {v: float((v - picks[2][-1]) % 20) for v in range(20)}
