@@ -15,6 +15,7 @@ matches, equal templates under two names match both, and repeated rows are kept.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,33 @@ def _bands(least: np.ndarray) -> np.ndarray:
     return h
 
 
+def _shortest(h: np.ndarray, where: np.ndarray) -> tuple[int, int]:
+    """The first and last place of the shortest range, the leftmost of these, that holds every hash of h; h[i] lies at where[i]."""
+    need, count, best, left = len(np.unique(h)), {}, None, 0
+    for right, x in enumerate(h.tolist()):
+        count[x] = count.get(x, 0) + 1
+        while len(count) == need:
+            if best is None or where[right] - where[left] < best[1] - best[0]:
+                best = (int(where[left]), int(where[right]))
+            y = int(h[left])
+            count[y] -= 1
+            if not count[y]:
+                del count[y]
+            left += 1
+    return best
+
+
+def _apart(rows: list[tuple[float, int, int, int]]) -> list[tuple[float, int, int]]:
+    """(-share, start, end) of rows (-share, window, start, end) in their order, without those that overlap one before."""
+    starts, kept = [], []
+    for c, _, a, b in sorted(rows):
+        i = bisect.bisect(starts, (a, b))
+        if (i == 0 or starts[i - 1][1] <= a) and (i == len(starts) or b <= starts[i][0]):
+            starts.insert(i, (a, b))
+            kept.append((c, a, b))
+    return kept
+
+
 class Index:
     def __init__(self, templates: dict[str, str], shingle: int, least: float) -> None:
         if sum(len(t.encode()) for t in templates.values()) > MOST_BYTES:
@@ -89,8 +117,9 @@ class Index:
         self.short = {int(s[0]): [j for j, m in enumerate(self.length) if 0 < m < shingle and int(self.sets[j][0]) == int(s[0])] for s, n in zip(self.sets, self.length, strict=True) if 0 < n < shingle}
 
     def found(self, h: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, containment) of the best match of each template in a text's words."""
-        out: dict[int, tuple[float, int, int]] = {}
+        """(template, first word, end, containment) of the matches of each template in a text's words that overlap none of its
+        better ones: the best first, then the earlier."""
+        every: dict[int, list[tuple[float, int, int, int]]] = {}
         n = len(h)
         s = _set(h, self.shingle) if n >= self.shingle else np.zeros(0, np.uint64)
         at = np.flatnonzero(self.bits[s >> U(44)]) if len(s) else np.zeros(0, np.int64)
@@ -115,23 +144,26 @@ class Index:
                 inside = np.isin(s[a:b], self.sets[t])
                 share = len(np.unique(s[a:b][inside])) / len(self.sets[t])
                 where = np.flatnonzero(inside)
-                if share >= self.least and share > out.get(t, (0, 0, 0))[0]:
-                    out[t] = (share, a + int(where[0]), a + int(where[-1]) + self.shingle)
+                if share >= self.least:
+                    first, last = int(where[0]), int(where[-1])
+                    if last - first + self.shingle > length:  # a neighbour's shingles may lie in the widened window
+                        first, last = _shortest(s[a:b][where], where)
+                    every.setdefault(t, []).append((-share, p, a + first, a + last + self.shingle))
+        out = [(t, a, b, -c) for t, rows in every.items() for c, a, b in _apart(rows)]
         for t in {t for ts in self.short.values() for t in ts}:
             m = self.length[t]
             k = np.array([int(self.sets[t][0])], np.uint64)
             if n >= m:
                 hits = [i for i in range(n - m + 1) if _set(h[i : i + m], self.shingle)[0] == k[0]]
-                if hits:
-                    out[t] = (1.0, hits[0], hits[0] + m)
-        return [(t, a, b, c) for t, (c, a, b) in sorted(out.items())]
+                out += [(t, a, b, 1.0) for _, a, b in _apart([(-1.0, i, i, i + m) for i in hits])]
+        return sorted(out)
 
 
 FOUND = "doc_id long, n_words long, matches array<struct<license:string,start:long,end:long,containment:double>>"
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """doc_id, n_words and the best match of each license found (word positions, end exclusive), by name of the license."""
+    """doc_id, n_words and the matches of each license that do not overlap (word positions, end exclusive), by name and start."""
     ship(docs.sparkSession)
     index = Index(templates if templates is not None else TEMPLATES, shingle, least)
     sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -151,7 +183,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, shingle:
             rows = []
             for i in range(b.num_rows):
                 got = own.found(w.hash[w.docs[i] : w.docs[i + 1]]) if marked[i] else []
-                rows.append([{"license": own.names[t], "start": p, "end": q, "containment": c} for t, p, q, c in sorted(got, key=lambda x: own.names[x[0]])])
+                rows.append([{"license": own.names[t], "start": p, "end": q, "containment": c} for t, p, q, c in sorted(got, key=lambda x: (own.names[x[0]], x[1]))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(w.count(), pa.int64()), pa.array(rows, kind)], ["doc_id", "n_words", "matches"])
 
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(task, FOUND)

@@ -55,7 +55,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.licenses(table(spark, sf_dir, "documents"))
     spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), F.format_number(m["containment"], 4)))
-    return found.select("doc_id", "n_words", F.size("matches").cast("long").alias("n_licenses"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+    names = F.array_distinct(F.transform("matches", lambda m: m["license"]))
+    return found.select("doc_id", "n_words", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,3 +364,21 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     got = corpus_pipeline.drop_near_copies(spark, df, "")
     assert bag(got.select("doc_id", "text")) == Counter([(1, long), (3, "short one"), (3, "other text"), (4, None), (5, "single"), (None, "free"), (None, "free")])
     assert got.columns == corpus_pipeline.COLUMNS and got.where("doc_id = 1").first().source == "s0"
+
+
+def test_repeated_licenses_are_all_found(spark):
+    name = "mit-text"
+    w = re.findall(r"\w+", license_scan.TEMPLATES[name])
+    n, texts, want = len(w), [], []
+    for gaps in ([0, 0, 0], [5, 0, 3], [40, 300, 1]):
+        text, spans = [], []
+        for g in gaps:
+            text += ["pad"] * g
+            spans.append((len(text), len(text) + n))
+            text += w
+        texts.append(" ".join(text))
+        want.append(spans)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.licenses(df, {name: license_scan.TEMPLATES[name], "short": "permission is"}).orderBy("doc_id").collect()
+    assert [[(m.start, m.end) for m in r.matches if m.license == name] for r in got] == want
+    assert all(sum(m.license == "short" for m in r.matches) == low(t).count("permission is") for r, t in zip(got, texts, strict=True))
