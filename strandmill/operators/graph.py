@@ -90,8 +90,8 @@ def neighbors_with_triangles(edges: DataFrame, tri: DataFrame | None = None) ->
 
 def luby(edges: DataFrame, seed: int, most_rounds: int = 100) -> DataFrame:
     """(v): a maximal independent set. In each round the vertices whose random value is the smallest among their neighbours
-    (ties: the smaller id) join the set, and they and their neighbours leave the graph. Isolated vertices have no edges and
-    are not in the table. edges: simple and undirected."""
+    (ties: the smaller id) join the set, and they and their neighbours leave the graph; a vertex that is left alone by that
+    joins too. Vertices without any edge are not in the table. edges: simple and undirected."""
     left = cut(edges.select("vi", "vj").where("vi <> vj"), "luby")
     chosen = None
     for _ in range(most_rounds):
@@ -106,6 +106,10 @@ def luby(edges: DataFrame, seed: int, most_rounds: int = 100) -> DataFrame:
         beside = left.join(won.toDF("vi"), "vi", "left_semi").select(F.col("vj").alias("v")).union(left.join(won.toDF("vj"), "vj", "left_semi").select(F.col("vi").alias("v")))
         gone = cut(won.union(beside).distinct(), "gone")
         after = cut(left.join(gone.toDF("vi"), "vi", "left_anti").join(gone.toDF("vj"), "vj", "left_anti"), "luby")
+        # a vertex that stays while all its neighbours leave has no edge any more: nothing in the set is beside it
+        free = cut(vertex_extract(left).join(gone, "v", "left_anti").join(vertex_extract(after), "v", "left_anti"), "free")
+        chosen = chosen.union(free)
+        uncut(gone)
         uncut(left)
         left = after
     else:
