@@ -1,15 +1,21 @@
 """Byte-level BPE by content-defined chunks that are encoded once and joined again.
 
 A rolling hash over bytes cuts each text into chunks (about ``CHUNK_BYTES`` each), so equal passages of different
-documents fall into equal chunks wherever they stand. A chunk's body, from its first safe cut to its last, is looked up by
-hash; a body that a worker has not met yet is encoded by the tokenizers library, its words once each. A safe cut is a
-single space or newline between two other characters: the pre-tokenizer always parts there and looks no further back, so a
-body's ids do not depend on what surrounds it. What lies about a chunk join (from the last safe cut before it to the first
-one after it) is encoded anew as one range; it widens over whole chunks until both its ends are safe cuts or the ends of the
-text, where its ids and the chunks' agree exactly. A worker's tables are bounded and start anew when full; reuse never
-changes a result. Decoding maps ids to bytes, invalid UTF-8 becoming U+FFFD as the library's decoder does.
-
-Null texts are empty and have no ids; repeated rows are kept, and other columns are ignored.
+documents fall into equal chunks wherever they stand. A chunk's body runs from its first safe cut to its last; a safe cut is a
+single space or newline between two other characters, where the pre-tokenizer always parts and beyond which it does not look.
+
+1. Spark counts the documents of each body over the whole corpus. The ``MOST_SHARED`` bodies that most documents share are
+   encoded once for all, and their table, of bounded size, goes to every worker.
+2. Bodies beyond these are encoded once a worker, their words once each, into tables that start anew when full. A table is
+   asked by hash and answers only where the bytes are the same; reuse never changes a result.
+3. About each join of bodies a range is encoded anew: from one word before the first body's end to one word after the next
+   one's start. It must part exactly at both ends of the gap, and its ids outside the gap must be those of the two bodies.
+   Where they disagree the whole text is encoded anew.
+
+Decoding maps ids to bytes, invalid UTF-8 becoming U+FFFD as the library's decoder does.
+
+Null texts are empty and have no ids; repeated rows are kept, an empty table gives no rows, and other columns are ignored. A
+text is worked on whole and takes some 60 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -23,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm import pieces
-from strandmill.llm.words import BYTE_VALUES, KEPT, U, buffer, mix, sliced, small_batches, spans, sums
+from strandmill.llm.words import KEPT, U, buffer, eights, hashes, mix, sliced, small_batches
 from strandmill.session import ship
 
 CHUNK_BYTES = 128
-#: Ids in a worker's table of chunk bodies.
-MOST_BODY_IDS = 4 << 20
+#: Bodies that are encoded once for the whole corpus, and the bytes of each at most: 40 MB with their ids at worst, 5 as a rule.
+MOST_SHARED, SHARED_BYTES = 1 << 14, 512
 SPECIAL = "<|endoftext|>"
 _WINDOW = 8
+_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
 def chunk_cuts(raw: np.ndarray, texts: np.ndarray, chunk_bytes: int) -> np.ndarray:
@@ -38,7 +45,7 @@ def chunk_cuts(raw: np.ndarray, texts: np.ndarray, chunk_bytes: int) -> np.ndarr
     n = len(raw)
     cut = np.zeros(n + 1, bool)
     if n > _WINDOW:
-        value = BYTE_VALUES[raw]
+        value = _BYTE_VALUES[raw]
         h = np.zeros(n - _WINDOW, np.uint64)
         for i in range(_WINDOW):
             h *= U(0x9E3779B97F4A7C17)
@@ -81,10 +88,21 @@ def _char_at(text: bytes, i: int) -> str:
     return text[i : i + 4].decode("utf-8", "ignore")[:1] or "x"
 
 
+def bodies(raw: np.ndarray, texts: np.ndarray, chunk_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The safe cuts, and where the bodies of chunks start and end."""
+    safe = np.flatnonzero(safe_cuts(raw, texts))  # sorted; holds 0 and n
+    chunks = np.flatnonzero(chunk_cuts(raw, texts, chunk_bytes))
+    first = safe[np.searchsorted(safe, chunks[:-1], "left")]
+    last = safe[np.searchsorted(safe, chunks[1:], "right") - 1]
+    full = first < last
+    return safe, first[full], last[full]
+
+
 class Coder:
     def __init__(self, path: str, chunk_bytes: int) -> None:
         self.words = pieces.encoder(path, SPECIAL)
-        self.bodies = pieces.Table()
+        self.shared, self.bodies, self.joins = pieces.Table(), pieces.Table(), pieces.Table(pieces.MOST_BYTES // 4)
+        self.known = None
         self.chunk_bytes = chunk_bytes
         tokenizer = self.words.tokenizer
         back = {c: b for b, c in byte_letters().items()}
@@ -97,39 +115,83 @@ class Coder:
         self.token_size = np.array([len(x) for x in table], np.int64)
         self.token_at = np.cumsum(self.token_size) - self.token_size
 
+    def learn(self, known: tuple[str, list[str], list[np.ndarray]]) -> Coder:
+        """Take over bodies that are encoded already: a name for the set, texts and ids."""
+        name, texts, ids = known
+        if self.known != name:
+            self.known = name
+            self.shared.clear()
+            raw, at = buffer(pa.array(texts, pa.string()))
+            eight = eights(raw)
+            keys, first = np.unique(hashes(eight, at[:-1], at[1:]), return_index=True)
+            own = [np.array(ids[i], np.uint32) for i in first.tolist()]
+            self.shared.add(keys, eight, at[first], at[first + 1], np.concatenate([*own, np.zeros(0, np.uint32)]), np.array([len(x) for x in own], np.int64))
+        return self
+
+    def _bodies(self, data: bytes, eight: np.ndarray, safe: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def make(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            # the safe cuts within each range part it into pieces
+            a, b = np.searchsorted(safe, p), np.searchsorted(safe, q)
+            at, _ = pieces.take(np.arange(len(safe)), a, b - a)
+            ids, size = self.words.ids(data, eight, safe[at], safe[at + 1])
+            return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(b - a)])])
+
+        def alone(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+            ids, size = make(p, q)
+            return np.split(ids, np.cumsum(size)[:-1])
+
+        i, there, _ = self.shared.find(hashes(eight, start, end), eight, start, end)
+        one, other = self.shared.gather(i[there]), pieces.looked_up(self.bodies, eight, start[~there], end[~there], make, alone)
+        size = np.zeros(len(start), np.int64)
+        size[there], size[~there] = one[1], other[1]
+        ids = np.zeros(int(size.sum()), np.uint32)
+        mine = np.repeat(there, size)
+        ids[mine], ids[~mine] = one[0], other[0]
+        return ids, size
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text, one after another, and how many each has."""
         raw, texts = buffer(column)
         n = len(raw)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(texts) - 1, np.int64)
-        safe = np.flatnonzero(safe_cuts(raw, texts))  # sorted; holds 0 and n
-        chunks = np.flatnonzero(chunk_cuts(raw, texts, self.chunk_bytes))
-        # A body runs from the first safe cut at or after its chunk's start to the last one at or before its end.
-        first = safe[np.searchsorted(safe, chunks[:-1], "left")]
-        last = safe[np.searchsorted(safe, chunks[1:], "right") - 1]
-        full = first < last
-        edges = np.unique(np.concatenate([first[full], last[full], texts]))
-        start, end = edges[:-1], edges[1:]
-        prefix = sums(BYTE_VALUES[raw])
-        key = spans(prefix, start, end)
-        unique, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if self.bodies.used > MOST_BODY_IDS:
-            self.bodies.clear()
-        _, there = self.bodies.find(unique)
-        if not there.all():
-            new = where[np.flatnonzero(~there)]
-            # the safe cuts within each new range part it into pieces
-            a, b = np.searchsorted(safe, start[new]), np.searchsorted(safe, end[new])
-            at, _ = pieces.take(np.arange(len(safe)), a, b - a)
-            p, q = safe[at], safe[at + 1]
-            ids, size = self.words.ids(raw, p, q, spans(prefix, p, q))
-            total = np.concatenate([[0], np.cumsum(size)])
-            parts = np.concatenate([[0], np.cumsum(b - a)])
-            self.bodies.add(unique[~there], ids, np.diff(total[parts]))
-        index, _ = self.bodies.find(unique)
-        ids, size = self.bodies.gather(index[back])
-        return ids, np.diff(np.concatenate([[0], np.cumsum(size)])[np.searchsorted(edges, texts)])
+        data, eight = raw.tobytes(), eights(raw)
+        safe, start, end = bodies(raw, texts, self.chunk_bytes)
+        ids, size = self._bodies(data, eight, safe, start, end)
+        # gaps, empty ones too: what lies before, between and behind the bodies of a text
+        p = np.sort(np.concatenate([texts[:-1], end]), kind="stable")
+        q = np.sort(np.concatenate([texts[1:], start]), kind="stable")
+        # a gap between two texts is none: texts give both a start and an end
+        lead = np.searchsorted(start, p, "left")  # the body that follows
+        inner = (p < q) | np.isin(p, end) & np.isin(q, start) & ~np.isin(p, texts)
+        p, q, lead = p[inner], q[inner], lead[inner]
+        has_left, has_right = ~np.isin(p, texts), ~np.isin(q, texts)
+        a = safe[np.searchsorted(safe, p) - has_left]
+        b = safe[np.searchsorted(safe, q) + has_right]
+        text = lambda x, y: [data[i:j].decode() for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        wide, wide_size = pieces.looked_up(self.joins, eight, a, b, lambda x, y: self.words.together(text(x, y)), lambda x, y: self.words.each(text(x, y)))
+        # how many ids of each range lie before its gap, and up to the gap's end; exactly, or the range disagrees
+        reach = np.concatenate([[0], np.cumsum(self.token_size[wide])])
+        at = np.concatenate([[0], np.cumsum(wide_size)])
+        begin, stop = reach[at[:-1]] + p - a, reach[at[:-1]] + q - a
+        i, j = np.searchsorted(reach, begin), np.searchsorted(reach, stop)
+        good = (reach[np.minimum(i, len(reach) - 1)] == begin) & (reach[np.minimum(j, len(reach) - 1)] == stop)
+        ends = np.cumsum(size)
+        good &= _equal(wide, at[:-1], ids, np.where(has_left, ends[np.maximum(lead - 1, 0)] if len(ends) else 0, 0) - (i - at[:-1]), i - at[:-1], good & has_left)
+        good &= _equal(wide, j, ids, (ends - size)[np.minimum(lead, len(ends) - 1)] if len(ends) else j, at[1:] - j, good & has_right)
+        gap, gap_size = pieces.take(wide, np.minimum(i, at[1:]), np.where(good, j - i, 0))
+        # bodies and gaps in their order
+        where, kind = np.concatenate([start, p]), np.concatenate([np.ones(len(start), np.int64), np.zeros(len(p), np.int64)])
+        order = np.lexsort((kind, where))
+        pool, total = np.concatenate([ids, gap]), np.concatenate([size, gap_size])
+        from_ = np.concatenate([np.cumsum(size) - size, len(ids) + np.cumsum(gap_size) - gap_size])
+        out, each = pieces.take(pool, from_[order], total[order])
+        owner = np.searchsorted(texts, where[order], "right") - 1
+        count = np.bincount(owner, each, len(texts) - 1).astype(np.int64)
+        if not good.all():
+            again = np.unique(np.searchsorted(texts, p[~good], "right") - 1)
+            out, count = pieces.put(out, count, again, self.words.each(text(texts[again], texts[again + 1])))
+        return out, count
 
     def decode(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
         """The decoded text of each run of ids, as UTF-8."""
@@ -141,6 +203,18 @@ class Coder:
         return [x if x.isascii() else x.decode("utf-8", "replace").encode() for x in out]
 
 
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Whether a[at : at + size] is b[bt : bt + size], for the rows in ``which``; true for the others."""
+    out = np.ones(len(at), bool)
+    k = np.flatnonzero(which)
+    ok = (bt[k] >= 0) & (bt[k] + size[k] <= len(b))
+    out[k[~ok]] = False
+    k = k[ok]
+    owner = np.repeat(k, size[k])
+    out[owner[pieces.take(a, at[k], size[k])[0] != pieces.take(b, bt[k], size[k])[0]]] = False
+    return out
+
+
 def byte_letters() -> dict[int, str]:
     """Byte-level BPE's printable letter for each byte: printable Latin-1 stands for itself, the rest follows from 256 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -159,12 +233,68 @@ def coder(path: str, chunk_bytes: int = CHUNK_BYTES) -> Coder:
     return _coders[path, chunk_bytes]
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTES, keep_ids: bool = False) -> DataFrame:
+def shared_bodies(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTES, most: int = MOST_SHARED) -> tuple[str, list[str], list]:
+    """The bodies that most documents share, each encoded once: for ``Coder.learn``. At most ``most`` bodies of at most
+    SHARED_BYTES bytes, by the number of their documents; documents are read twice, and hashes are shuffled."""
+    ship(docs.sparkSession)
+    texts = small_batches(docs.select("text"))
+
+    def ranges(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        raw, at = buffer(b.column(0))
+        if not len(raw):
+            none = np.zeros(0, np.int64)
+            return raw, at, none, none, np.zeros(0, np.uint64)
+        _, start, end = bodies(raw, at, chunk_bytes)
+        short = end - start <= SHARED_BYTES
+        return raw, at, start[short], end[short], hashes(eights(raw), start[short], end[short])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, "text", keep=True):
+            _, at, start, _, h = ranges(b)
+            doc = np.searchsorted(at, start, "right") - 1
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            u, n = np.unique(h[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int32))], ["body", "n"])
+
+    counted = texts.mapInArrow(count, "body long, n int").groupBy("body").agg(F.sum("n").alias("n")).where("n > 1")
+    top = np.array([r.body for r in counted.orderBy(F.col("n").desc(), "body").limit(most).collect()], np.int64).view(np.uint64)
+    if not len(top):
+        return "none", [], []
+    sent = docs.sparkSession.sparkContext.broadcast(np.sort(top))
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(sent.value), bool)
+        for b in sliced(batches, "text", keep=True):
+            raw, _, start, end, h = ranges(b)
+            i = np.minimum(np.searchsorted(sent.value, h), len(seen) - 1)
+            at = np.flatnonzero((sent.value[i] == h) & ~seen[i])
+            _, one = np.unique(h[at], return_index=True)
+            at = at[one]
+            seen[i[at]] = True
+            if len(at):
+                data = raw.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array([data[p:q].decode() for p, q in zip(start[at].tolist(), end[at].tolist(), strict=True)])], ["body", "text"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pieces.encoder(tokenizer, SPECIAL).each(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], ["text", "ids"])
+
+    once = texts.mapInArrow(contents, "body long, text string").groupBy("body").agg(F.min("text").alias("text")).select("text")
+    rows = sorted(once.mapInArrow(encode, "text string, ids array<int>").collect())
+    return hashlib.sha256("\0".join(r.text for r in rows).encode()).hexdigest(), [r.text for r in rows], [np.array(r.ids, np.uint16) for r in rows]
+
+
+def encode_decode(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTES, keep_ids: bool = False, most_shared: int = MOST_SHARED) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with keep_ids the ids too."""
     ship(docs.sparkSession)
+    known = docs.sparkSession.sparkContext.broadcast(shared_bodies(docs, tokenizer, chunk_bytes, most_shared))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(tokenizer, chunk_bytes)
+        own = coder(tokenizer, chunk_bytes).learn(known.value)
         for b in sliced(batches, "text", keep=True):
             ids, count = own.encode(b.column("text"))
             at = np.concatenate([[0], np.cumsum(count)])

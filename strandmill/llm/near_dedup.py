@@ -1,7 +1,7 @@
 """Near-duplicate documents by HyperMinHash registers, banding, and verification on full shingle sets.
 
-1. A document's set holds the hashes of its distinct word shingles. Documents of one set form a class; its smallest doc_id
-   represents it, so copies are never compared with one another.
+1. A document's set holds the hashes of its distinct word shingles. Documents of one word sequence, told by 128 bits of
+   BLAKE2b, form a class; its smallest doc_id represents it, so copies are never compared with one another.
 2. A sketch of ``REGISTERS`` registers: a shingle's hash picks a register, and a register keeps the smallest hash that falls
    on it as its count of leading zeros (6 bits) and the 10 bits that follow. Registers still empty take hashes of further
    rounds, so short documents have full sketches too, and two registers agree with the sets' Jaccard similarity as chance.
@@ -18,11 +18,15 @@
    has no cap.
 
 A pair is verified in two steps: the similarity estimated from the registers and corrected for their chance agreement must
-reach ``LEAST_ESTIMATE`` (5 standard deviations under 0.8); then the full shingle sets of both texts decide exactly.
+reach ``LEAST_ESTIMATE`` (8 standard deviations under 0.8: a chance below 1e-12 to lose a pair); then the full shingle sets of
+both texts decide. The words and shingles behind equal hashes are compared there; texts in which two different ones have one
+hash are compared as sets of words instead. Partners of one set are dealt into groups of about the square root of their
+number, and a group's text of that set is sent once, so no task gets all pairs of a hub.
 
 Null, empty and blank texts have empty sets and are linked with nothing, not even with each other. A text of fewer words than
-a shingle has its whole sequence as one. Repeated rows of a document count as exact copies of it. A row whose doc_id is null
-stands for itself (its component_id is null). Other columns are ignored.
+a shingle has its whole sequence as one. Repeated rows of a document count as exact copies of it; a doc_id with several texts
+is one document, linked by any of them. A row whose doc_id is null stands for itself (its component_id is null). Empty tables
+give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,19 +39,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.id_filter import id_filter, maybe
-from strandmill.llm.words import SPACED, U, mix, runs, sliced, small_batches, whole, words
+from strandmill.llm.joins import looked_up
+from strandmill.llm.words import SPACED, U, collide, mix, runs, sliced, small_batches, text_names, whole, words
 from strandmill.operators.components import components
-from strandmill.session import cut, ship
+from strandmill.session import cut, ship, uncut
 
-REGISTERS, ROWS, LEAST_ESTIMATE, HUBS = 128, 4, 0.62, 4
+REGISTERS, ROWS, LEAST_ESTIMATE, HUBS = 128, 4, 0.5, 4
+#: Partners of a set from which on they are dealt into groups, and rows of a broadcast table of such sets (2 MB).
+MANY, MOST_HUBS = 32, 1 << 17
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Chance that registers of different minima agree: about a third for the leading zeros, 2**-10 for the rest.
 AGREE = 2**-10 / 3
 
 
-def shingle_sets(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes of each text, one text after another, and d + 1 offsets."""
-    w = words(column, SPACED, lower=True)
+def shingle_sets(w, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text of words, one text after another, and d + 1 offsets."""
     h, at = runs(w.hash, w.docs, shingle)
     count = w.count()
     short = np.flatnonzero((count > 0) & (count < shingle))
@@ -116,27 +122,35 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: Parts into which hashes of shingles fall for the bound on intersections.
 PARTS = 64
-SIGNED = "doc_id long, n long, s1 long, s2 long, bands array<long>, parts array<int>"
+SIGNED = "doc_id long, n long, k1 long, k2 long, bands array<long>, parts array<int>"
 
 
 def signed(docs: DataFrame, shingle: int, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
-            h, at = shingle_sets(b.column("text"), shingle)
-            n = np.diff(at)
-            two = [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ U(c)), dtype=np.uint64)])[at]) for c in (0x51ED270B, 0xC13FA9A9)]
+            w = words(b.column("text"), SPACED, lower=True)
+            h, at = shingle_sets(w, shingle)
+            n, name = np.diff(at), text_names(w)
             s = sketches(h, at, registers)
             bands = band_hashes(s, rows)
             d, width = bands.shape
             parts = np.bincount(np.repeat(np.arange(d), n) * PARTS + (h % U(PARTS)).astype(np.int64), minlength=d * PARTS).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in two), pa.ListArray.from_arrays(pa.array(np.arange(d + 1, dtype=np.int32) * width), pa.array(bands.reshape(-1).view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(d + 1, dtype=np.int32) * PARTS), pa.array(parts))],
-                ["doc_id", "n", "s1", "s2", "bands", "parts"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.ListArray.from_arrays(pa.array(np.arange(d + 1, dtype=np.int32) * width), pa.array(bands.reshape(-1).view(np.int64))), pa.ListArray.from_arrays(pa.array(np.arange(d + 1, dtype=np.int32) * PARTS), pa.array(parts))],
+                ["doc_id", "n", "k1", "k2", "bands", "parts"],
             )
 
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(task, SIGNED)
 
 
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """(a, b, part): pairs in groups by a and part, none with all partners of a set that has many."""
+    many = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("a", F.ceil(F.sqrt("n")).cast("int").alias("groups")), "many")
+    if many.count() <= MOST_HUBS:
+        many = F.broadcast(many)
+    return pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1))).cast("int").alias("part"))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, least: float = LEAST_ESTIMATE) -> DataFrame:
     """Pairs (a, b) with 100 * |intersection| >= percent * |union|: estimated from sketches first, then from the full sets of
     both texts. Only texts that a bounded filter of the pairs' ids lets through are shuffled."""
@@ -147,25 +161,52 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, le
             if t.num_rows:
                 yield t.filter(pa.array(maybe(sent.value, t.column(0).to_numpy())))
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    texts = small_batches(own).mapInArrow(some, "doc_id long, text string")
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where("doc is not null")
+    texts = small_batches(own).mapInArrow(some, "doc long, text string")
+    dealt = _dealt(pairs)
+    side = lambda c, i: dealt.select(F.col(c).alias("doc"), "a", "part", F.lit(i).alias("side"))
+    rows = texts.join(side("a", 0).distinct().union(side("b", 1)), "doc")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "side", "doc")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in sliced(sliced(batches, "text_b"), "text_a"):
-            sides = []
-            for i in (2, 3):
-                once = t.column(i).dictionary_encode()  # the same partner often stands in many rows
-                sides.append((*shingle_sets(once.dictionary, shingle), once.indices.to_numpy()))
-            (x, p, i), (y, q, j) = sides
-            near = estimate(sketches(x, p)[i], sketches(y, q)[j]) >= least
-            for row in np.flatnonzero(near).tolist():
-                u, v = x[p[i[row]] : p[i[row] + 1]], y[q[j[row]] : q[j[row] + 1]]
-                k = _common(u, v)
-                near[row] = len(u) > 0 and len(v) > 0 and 100 * k >= percent * (len(u) + len(v) - k)
-            yield t.select([0, 1]).filter(pa.array(near))
-
-    return both.mapInArrow(task, "a long, b long")
+        group, hub = None, []  # the group that was not at its end, and the texts of its a
+        for t in sliced(batches, "text"):
+            column = pa.concat_arrays([pa.array(hub, pa.string()), t.column("text").cast(pa.string())])
+            w = words(column, SPACED, lower=True)
+            h, at = shingle_sets(w, shingle)
+            exact = not collide(w, shingle)
+            s = sketches(h, at)
+            of, open_, two = group, list(range(len(hub))), []
+            for i, (a, part, one) in enumerate(zip(t.column("a").to_pylist(), t.column("part").to_pylist(), t.column("side").to_pylist(), strict=True)):
+                if (a, part) != of:
+                    of, open_ = (a, part), []
+                if one == 0:
+                    if column[len(hub) + i] not in [column[j] for j in open_]:
+                        open_.append(len(hub) + i)
+                else:
+                    two += [(j, len(hub) + i) for j in open_]
+            if two:
+                x, y = np.array(two).T
+                near = estimate(s[x], s[y]) >= least
+                near &= (np.diff(at)[x] > 0) & (np.diff(at)[y] > 0)
+                for k in np.flatnonzero(near).tolist():
+                    if exact:
+                        u, v = h[at[x[k]] : at[x[k] + 1]], h[at[y[k]] : at[y[k] + 1]]
+                        n, m, both = len(u), len(v), _common(u, v)
+                    else:
+                        u, v = (_word_set(w, i, shingle) for i in (x[k], y[k]))
+                        n, m, both = len(u), len(v), len(u & v)
+                    near[k] = 100 * both >= percent * (n + m - both)
+                yield t.select(["a", "doc"]).take(pa.array(np.unique(y[near]) - len(hub))).rename_columns(["a", "b"])
+            group, hub = of, [column[j].as_py() for j in open_]
+
+    return rows.select("a", "part", "side", "doc", "text").mapInArrow(task, "a long, b long").distinct()
+
+
+def _word_set(w, i: int, shingle: int) -> set:
+    data = w.low.tobytes()
+    own = [data[p:q] for p, q in zip(w.start[w.docs[i] : w.docs[i + 1]].tolist(), w.end[w.docs[i] : w.docs[i + 1]].tolist(), strict=True)]
+    return {tuple(own[j : j + shingle]) for j in range(max(1, len(own) - shingle + 1))} if own else set()
 
 
 def _common(u: np.ndarray, v: np.ndarray) -> int:
@@ -183,7 +224,7 @@ def _able(reps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
         for t in batches:
             if t.num_rows:
                 for b in sliced(iter([t.filter(pa.array(maybe(sent.value, t.column(0).to_numpy())))])):
-                    h, at = shingle_sets(b.column(1), shingle)
+                    h, at = shingle_sets(words(b.column(1), SPACED, lower=True), shingle)
                     n = np.diff(at)
                     owner = np.repeat(np.arange(b.num_rows), n)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(h.view(np.int64))], ["rep", "n", "shingle"])
@@ -201,28 +242,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ship(docs.sparkSession)
     every = cut(signed(docs, shingle), "signed")
     real = every.where("n > 0 and doc_id is not null")
-    classes = cut(real.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "bands", "parts")).alias("least")).select("n", "s1", "s2", F.col("least.doc_id").alias("rep"), "least.bands", "least.parts"), "classes")
+    classes = cut(real.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n", "bands", "parts")).alias("least"), F.count("*").alias("times")).select("k1", "k2", F.col("least.doc_id").alias("rep"), "least.n", "least.bands", "least.parts", "times"), "classes")
     exploded = classes.select("rep", F.explode("bands").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    members = cut(exploded.join(shared, "key"), "members")
-    able = _able(classes.select("rep", "n").join(members.select("rep").distinct(), "rep"), docs, shingle)
+    shared = exploded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("times")).where("lo <> hi").select("key", "times")
+    met = cut(looked_up(exploded, cut(shared, "shared"), ["key"], (REGISTERS // ROWS) * classes.count()), "members")
+    able = _able(classes.select("rep", "n").join(met.select("rep").distinct(), "rep"), docs, shingle)
     able = cut(able.where(100 * F.col("able") >= percent * F.col("n")), "able")
-    members = cut(members.join(able.drop("lone"), "rep"), "members")
-    hubs = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max(F.struct((F.col("able") / F.col("n")).alias("share"), "rep")).alias("best")).select("key", F.array_distinct(F.array("lo", "best.rep")).alias("hubs"))
-    met = members.join(hubs, "key").select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").groupBy("rep").agg(F.collect_list("hub").alias("met"))
+    members = cut(met.join(able.drop("lone"), "rep"), "members")
+    uncut(met)
+    hubs = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max(F.struct((F.col("able") / F.col("n")).alias("share"), "rep")).alias("best"), F.count("*").alias("times")).select("key", F.array_distinct(F.array("lo", "best.rep")).alias("hubs"), "times")
+    met = looked_up(members, cut(hubs, "hubs"), ["key"], members.count()).select("rep", F.explode("hubs").alias("hub")).where("rep <> hub").groupBy("rep").agg(F.collect_list("hub").alias("met"))
     ranked = F.expr(f"slice(array_sort(transform(array_distinct(met), h -> struct(-size(filter(met, x -> x = h)) as times, h as hub))), 1, {HUBS})")
     first = cut(met.select("rep", F.explode(ranked).alias("x")).select(F.least("rep", "x.hub").alias("a"), F.greatest("rep", "x.hub").alias("b")).distinct(), "pairs")
-    found = cut(_confirmed(first, docs, shingle, percent), "links")
+    # a doc_id with several texts ties their classes together
+    several = real.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).where("lo <> hi").select("doc_id")
+    tied = real.join(several, "doc_id").select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b"))
+    found = cut(_confirmed(first, docs, shingle, percent).union(tied), "links")
     label = cut(components(found), "labels")
     # what is left: pairs of different components that share a bucket
     named = members.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    several = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    still = cut(named.join(several, "key"), "open")
+    open_ = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    still = cut(named.join(open_, "key"), "open")
+    uncut(members)
     if not still.isEmpty():
         # how many shared shingles of each set fall into each part: part by part, an intersection has at most the smaller number
         shares = F.expr("transform(parts, (p, i) -> p - if(lone is null, 0, size(filter(lone, x -> x = pmod(i, 64)))))")
-        sides = classes.select("rep", "bands", "parts").join(still.select("rep").distinct(), "rep").join(able.select("rep", "lone"), "rep").select("rep", "bands", shares.alias("shares"))
-        full = still.join(cut(sides, "sides"), "rep")
+        sides = cut(classes.select("rep", "bands", "parts").join(still.select("rep").distinct(), "rep").join(able.select("rep", "lone"), "rep").select("rep", "bands", shares.alias("shares")), "sides")
+        full = still.join(sides, "rep")
         one, two = (full.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "comp", "n", "able", "bands", "shares")]) for x in "ab")
         here = F.expr("element_at(filter(zip_with(bands_a, bands_b, (x, y) -> if(x = y, x, null)), x -> x is not null), 1)")
         admitted = (100 + percent) * F.least("able_a", "able_b") >= percent * (F.col("n_a") + F.col("n_b"))
@@ -232,9 +278,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         more = cut(_confirmed(pairs, docs, shingle, percent), "links")
         if not more.isEmpty():
             label = cut(components(found.union(more)), "labels")
-    final = label.select(F.col("node").alias("rep"), "component")
-    named = classes.select("n", "s1", "s2", "rep").join(final, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    slim = every.select("doc_id", "n", "s1", "s2")
-    linked = slim.where("n > 0 and doc_id is not null").join(named, ["n", "s1", "s2"]).select("doc_id", "n", "component_id")
+        for done in (sides, pairs, more):
+            uncut(done)
+    for done in (still, first, found, able):
+        uncut(done)
+    named = classes.select("k1", "k2", "rep", "times").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "times", F.coalesce("component", "rep").alias("component_id"))
+    slim = every.select("doc_id", "n", "k1", "k2")
+    linked = looked_up(slim.where("n > 0 and doc_id is not null"), cut(named, "named"), ["k1", "k2"], every.count()).select("doc_id", "n", "component_id")
     alone = slim.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -1,7 +1,8 @@
 """Ids of text pieces, each distinct piece encoded once and kept in numpy arrays.
 
 A piece is a byte range that a tokenizer encodes alone exactly as it does within its text. Unseen pieces are joined by a
-special token, encoded by the tokenizers library in one call, and split at that token again.
+special token, encoded by the tokenizers library in one call, and split at that token again. A table finds a piece by its hash
+and then compares its bytes; a piece whose hash another one has is encoded by itself each time.
 """
 
 from __future__ import annotations
@@ -10,48 +11,73 @@ import os
 
 import numpy as np
 
-from strandmill.llm.words import KEPT
+from strandmill.llm.words import KEPT, clashes, firsts, hashes, same
 
-#: Characters of one call to the library, and pieces kept by a Python worker before its table starts anew (24 bytes or so each).
-CALL_CHARS, MOST_PIECES = 60_000, 1_000_000
+#: Characters of one call to the library, and bytes of a table in a Python worker before it starts anew.
+CALL_CHARS, MOST_BYTES = 60_000, 40 << 20
+
+
+def _grown(pool: np.ndarray, need: int) -> np.ndarray:
+    if need <= len(pool):
+        return pool
+    out = np.zeros(max(len(pool) + len(pool) // 2, need), pool.dtype)
+    out[: len(pool)] = pool
+    return out
 
 
 class Table:
-    """Sorted hashes with a pool of ids; grows by merging."""
+    """Sorted hashes with pools of contents and ids; grows by merging."""
 
-    def __init__(self, most: int = MOST_PIECES) -> None:
+    def __init__(self, most: int = MOST_BYTES) -> None:
         self.most = most
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)  # of the ids
         self.size = np.zeros(0, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.place = np.zeros(0, np.int32)  # of the bytes
+        self.length = np.zeros(0, np.int32)
+        self.pool = np.zeros(1 << 14, np.uint32)
+        self.data = np.zeros(1 << 16, np.uint8)
+        self.used = self.filled = 0
+
+    def full(self) -> bool:
+        return 24 * len(self.keys) + 4 * self.used + self.filled > self.most
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of each key, and whether it is there."""
+    def _eight(self) -> np.ndarray:
+        return np.ndarray((len(self.data) - 7,), "<u8", buffer=self.data.data, strides=(1,))
+
+    def find(self, keys: np.ndarray, eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of each key, whether it is there with these bytes, and whether it is there with others."""
+        none = np.zeros(len(keys), bool)
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            return np.zeros(len(keys), np.int64), none, none
         i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return i, self.keys[i] == keys
+        known = self.keys[i] == keys
+        equal = known & (self.length[i] == end - start)
+        at = np.flatnonzero(equal)
+        equal[at] = same(eight, start[at], self._eight(), self.place[i[at]].astype(np.int64), (end - start)[at])
+        return i, equal, known & ~equal
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, eight: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         """keys: sorted and absent."""
-        if self.used + len(ids) > len(self.pool):
-            grown = np.zeros(max(2 * len(self.pool), self.used + len(ids)), np.uint32)
-            grown[: self.used] = self.pool[: self.used]
-            self.pool = grown
+        length = end - start
+        self.pool = _grown(self.pool, self.used + len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
-        at = self.used + np.cumsum(size) - size
+        total = int(length.sum())
+        self.data = _grown(self.data, self.filled + total + 8)
+        flat, _ = take(np.arange(len(eight)), start, length)
+        self.data[self.filled : self.filled + total] = eight[flat].astype(np.uint8)
+        new = (keys, self.used + np.cumsum(size) - size, size, self.filled + np.cumsum(length) - length, length)
         self.used += len(ids)
+        self.filled += total
         i = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = (np.insert(a, i, b) for a, b in ((self.keys, keys), (self.at, at), (self.size, size.astype(np.int32))))
+        self.keys, self.at, self.size, self.place, self.length = (np.insert(a, i, b) for a, b in zip((self.keys, self.at, self.size, self.place, self.length), new, strict=True))
 
     def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of entries, one after another, and how many each has."""
-        return take(self.pool, self.at[index], self.size[index].astype(np.int64))
+        return take(self.pool, self.at[index].astype(np.int64), self.size[index].astype(np.int64))
 
 
 def take(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +88,35 @@ def take(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
     return pool[step], size
 
 
+def put(ids: np.ndarray, size: np.ndarray, where: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids with those at ``where`` replaced by ``parts``."""
+    out = np.split(ids, np.cumsum(size)[:-1])
+    for i, p in zip(where.tolist(), parts, strict=True):
+        out[i] = p
+    return np.concatenate(out).astype(np.uint32), np.array([len(x) for x in out], np.int64)
+
+
+def looked_up(table: Table, eight: np.ndarray, start: np.ndarray, end: np.ndarray, make, alone) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of ranges, one after another, and how many each has.
+
+    make(start, end) encodes ranges that are new to the table, alone(start, end) -> list those whose hash another one has.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    unique, first, back = firsts(hashes(eight, start, end))
+    odd = clashes(eight, start, end, first, back)
+    if table.full():
+        table.clear()
+    _, there, other = table.find(unique, eight, start[first], end[first])
+    new = first[~there & ~other]
+    if len(new):
+        table.add(unique[~there & ~other], eight, start[new], end[new], *make(start[new], end[new]))
+    odd = np.union1d(odd, np.flatnonzero(other[back]))
+    index = np.searchsorted(table.keys, unique)
+    ids, size = table.gather(index[back])
+    return put(ids, size, odd, alone(start[odd], end[odd])) if len(odd) else (ids, size)
+
+
 class Encoder:
     def __init__(self, path: str, between: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,11 +128,11 @@ class Encoder:
         self.between, self.cut = between, self.tokenizer.token_to_id(between)
         self.table = Table()
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+    def each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """Encode the pieces of sorted, absent keys."""
+    def together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, and how many each has; many are encoded in one call."""
         out: list = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if "<|" in t or len(t) > CALL_CHARS]
         skip, calls, own, chars = set(odd), [], [], 0
@@ -92,28 +147,20 @@ class Encoder:
         if own:
             calls.append(own)
         for own in calls:
-            (ids,) = self._encode([self.between.join([texts[i] for i in own])])
+            (ids,) = self.each([self.between.join([texts[i] for i in own])])
             ends = np.flatnonzero(ids == self.cut)
             if len(ends) != len(own) - 1:
                 raise ValueError("the separator was not kept apart")
             for i, part in zip(own, np.split(ids, ends), strict=True):
                 out[i] = part if i == own[0] else part[1:]
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd]) if odd else [], strict=True):
+        for i, ids in zip(odd, self.each([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
-        self.table.add(keys, np.concatenate(out) if out else np.zeros(0, np.uint32), np.array([len(x) for x in out], np.int64))
-
-    def ids(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces, one after another, and how many each has."""
-        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.table.keys) > self.table.most:
-            self.table.clear()
-        _, there = self.table.find(unique)
-        if not there.all():
-            new = np.flatnonzero(~there)
-            data = raw.tobytes()
-            self.learn(unique[new], [data[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
-        index, _ = self.table.find(unique)
-        return self.table.gather(index[back])
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array([len(x) for x in out], np.int64)
+
+    def ids(self, data: bytes, eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has. eight: those of data."""
+        text = lambda a, b: [data[p:q].decode() for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+        return looked_up(self.table, eight, start, end, lambda a, b: self.together(text(a, b)), lambda a, b: self.each(text(a, b)))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -9,16 +9,21 @@ words stands in every copy of that window.
 1. Documents of one word sequence are one: all words of all but the smallest are in windows that repeat, and only the
    smallest goes on.
 2. A window's landmark is its first symbol of the highest round that has one decided within the window; round 0 always has.
-   Equal windows have equal landmarks. Spark counts documents by landmark: only landmarks of several documents can lead to
-   repeats.
-3. Windows of shared landmarks are named by 96-bit hashes of all their words, and Spark finds the smallest document of each.
-   Every window of a document with a larger id is verified by that name and its words are removed.
+   Equal windows have equal landmarks. Consecutive windows of one landmark make a run. Spark counts documents by landmark:
+   only runs of landmarks in several documents can lead to repeats.
+3. Spark finds the smallest document of each run, named by 128 bits of BLAKE2b of all its words. In every larger one all
+   windows of the run repeat, and they are in the smallest, too: only the runs of the smallest go on.
+4. The windows of these are named likewise, and Spark finds the smallest document of each.
 
-Only landmarks, window names and positions are shuffled, and the texts of documents with shared landmarks; hot passages are
-pre-aggregated, and the joins back are plain ones that adaptive execution can split.
+A name stands for the bytes of its words: what is removed does not rest on the hashes that symbols are named by, which differ
+from a dealt number only in that tasks agree on them without an exchange of all symbols for each round.
+
+Only landmarks, names and positions are shuffled, and the texts of documents with shared runs. Keys of many rows are
+pre-aggregated, and joined back by a broadcast of bounded size.
 
 A null text has no words; a document of fewer words than a window loses none. Rows whose doc_id is null are neither removed
-from nor count as smaller. Repeated rows of one doc_id are each judged by their own text. Other columns are ignored.
+from nor count as smaller. Repeated rows of one doc_id are each judged by their own text. Empty tables give no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.id_filter import id_filter, maybe
-from strandmill.llm.words import SPACED, U, mix, sliced, small_batches, spans, sums, words
-from strandmill.session import cut, ship
+from strandmill.llm.joins import looked_up
+from strandmill.llm.words import SPACED, U, joined, mix, names, sliced, small_batches, text_names, words
+from strandmill.session import cut, ship, uncut
 
 WINDOW = 50
 #: Rounds in order: r names runs, p names pairs.
@@ -122,8 +128,12 @@ def _own(docs: DataFrame) -> DataFrame:
     return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
 
 
+RUN = "mark:long,k1:long,k2:long,start:int,n:int"
+
+
 def _parsed(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, n1, n2, marks) of every document with a window: names of its whole text, and its distinct landmarks."""
+    """(doc_id, n1, n2, runs) of every document with a window: names of its whole text, and its runs of n windows each with
+    their landmark, name and first word."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
@@ -132,40 +142,44 @@ def _parsed(docs: DataFrame, window: int) -> DataFrame:
             if not len(at):
                 continue
             m = landmarks(w.hash, w.docs, at, window)
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (m[1:] != m[:-1])
+            first = np.flatnonzero(new)
+            n = np.diff(np.append(first, len(at)))
+            at, m = at[first], m[first]
             doc = np.searchsorted(w.docs, at, "right") - 1
-            order = np.lexsort((m, doc))
-            m, doc = m[order], doc[order]
-            new = np.ones(len(m), bool)
-            new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
-            m, doc = m[new], doc[new]
-            own = np.unique(doc)
-            n1, n2 = _names(w)
-            offsets = np.append(np.searchsorted(doc, own), len(doc)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(own)), pa.array(n1[own].view(np.int64)), pa.array(n2[own].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.view(np.int64)))], ["doc_id", "n1", "n2", "marks"])
+            flat, start, end = joined(w)
+            k = names(flat, start[at], end[at + n + window - 2])
+            own, begins = np.unique(doc, return_index=True)
+            whole = text_names(w)[own]
+            runs = pa.StructArray.from_arrays([pa.array(m.view(np.int64)), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array((at - w.docs[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], ["mark", "k1", "k2", "start", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(own)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)).astype(np.int32)), runs)], ["doc_id", "n1", "n2", "runs"])
 
-    return _own(docs.where("doc_id is not null")).mapInArrow(task, "doc_id long, n1 long, n2 long, marks array<long>")
-
-
-def _names(w) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of name for each text's word sequence."""
-    a, b = w.docs[:-1], w.docs[1:]
-    return spans(sums(w.hash), a, b), spans(sums(mix(w.hash ^ U(0x5851F42D4C957F2D))), a, b)
+    return _own(docs.where("doc_id is not null")).mapInArrow(task, f"doc_id long, n1 long, n2 long, runs array<struct<{RUN}>>")
 
 
 def _in_filter(parsed: DataFrame, marks: DataFrame) -> DataFrame:
-    """(mark, doc_id) of the landmarks that a bounded filter of ``marks`` lets through."""
+    """(mark, k1, k2, doc_id, place, n) of the runs whose landmark a bounded filter of ``marks`` lets through. A place is a
+    word's, with 32 bits of the text's name above it."""
     sent = parsed.sparkSession.sparkContext.broadcast(id_filter(marks.select(F.col("mark").alias("id"))))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                lists = b.column(1)
-                flat = lists.flatten().to_numpy()
+                lists = b.column("runs")
+                flat = lists.flatten()
                 owner = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-                ok = np.flatnonzero(maybe(sent.value, flat))
-                yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), b.column(0).take(pa.array(owner[ok]))], ["mark", "doc_id"])
+                ok = np.flatnonzero(maybe(sent.value, flat.field("mark").to_numpy()))
+                flat, owner = flat.take(pa.array(ok)), owner[ok]
+                place = _above(b.column("n1").to_numpy())[owner] | flat.field("start").to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("mark", "k1", "k2")), b.column("doc_id").take(pa.array(owner)), pa.array(place), flat.field("n")], ["mark", "k1", "k2", "doc_id", "place", "n"])
+
+    return parsed.select("doc_id", "n1", "runs").mapInArrow(task, "mark long, k1 long, k2 long, doc_id long, place long, n int")
 
-    return parsed.select("doc_id", "marks").mapInArrow(task, "mark long, doc_id long")
+
+def _above(n1: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of texts' names."""
+    return n1 >> 32 << 32
 
 
 def _some(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -186,65 +200,48 @@ def _some(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, doc_id, place) of the windows whose landmark is in the row's marks. A place is the window's first word, with
-    32 bits of the text's name above it."""
+    """(k1, k2, doc_id, place, n = 1) of the windows of the row's runs (places and ns)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             w = words(b.column("text"), SPACED, lower=False)
-            at = window_starts(w.docs, window)
-            if not len(at):
-                continue
-            m = landmarks(w.hash, w.docs, at, window)
-            doc = np.searchsorted(w.docs, at, "right") - 1
-            lists = b.column("marks")
-            ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
-            owner = np.repeat(np.arange(b.num_rows), np.diff(ends))
-            # membership of (document, mark) pairs
-            have = np.sort(mix(flat + owner.astype(np.uint64) * U(0x9E3779B97F4A7C15)))
-            ask = mix(m + doc.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-            i = np.minimum(np.searchsorted(have, ask), len(have) - 1)
-            at, doc = at[have[i] == ask], doc[have[i] == ask]
-            key = _text_key(w)
-            one = sums(w.hash)
-            two = sums(mix(w.hash ^ U(0x5851F42D4C957F2D)))
-            for j in range(0, len(at), 1 << 18):
-                p, d = at[j : j + (1 << 18)], doc[j : j + (1 << 18)]
-                k1, k2 = spans(one, p, p + window), spans(two, p, p + window) >> U(33)
-                yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.astype(np.int32)), b.column("doc_id").take(pa.array(d)), pa.array(key[d] | (p - w.docs[d]))], ["k1", "k2", "doc_id", "place"])
-
-    return small_batches(docs).mapInArrow(task, "k1 long, k2 int, doc_id long, place long")
-
-
-#: The place that stands for all words of a text.
-ALL = 0xFFFFFFFF
-
-
-def _text_key(w) -> np.ndarray:
-    """The name of each text in the upper 32 bits of a long, as places have it."""
-    return (_names(w)[0] >> U(32) << U(32)).view(np.int64)
-
-
+            flat, start, end = joined(w)
+            key, count = _above(text_names(w)[:, 0]), w.count()
+            for i, runs in enumerate(b.column("runs").to_pylist()):
+                at = np.array([(r["place"], r["n"]) for r in runs], np.int64).reshape(-1, 2)
+                at = at[at[:, 0] >> 32 == key[i] >> 32]
+                first, n = at[:, 0] & 0xFFFFFFFF, at[:, 1]
+                for j in range(0, len(first), 1 << 14):
+                    size = n[j : j + (1 << 14)]
+                    p = np.repeat(first[j : j + (1 << 14)] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    p = p[p + window <= count[i]]
+                    k = names(flat, start[w.docs[i] + p], end[w.docs[i] + p + window - 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), b.column("doc_id").take(pa.array(np.full(len(p), i))), pa.array(key[i] | p), pa.array(np.ones(len(p), np.int32))], ["k1", "k2", "doc_id", "place", "n"])
+
+    return small_batches(docs).mapInArrow(task, "k1 long, k2 long, doc_id long, place long, n int")
+
+
+#: The number of windows that stands for all of a text.
+ALL = 0
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _kept(texts: DataFrame, window: int, keep_text: bool) -> DataFrame:
-    """texts: doc_id, text and the starts of the windows to be removed (null: none)."""
+    """texts: doc_id, text and the runs of windows to be removed (null: none)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             w = words(b.column("text"), SPACED, lower=False)
             delta = np.zeros(len(w.hash) + 1, np.int64)
-            lists, key = b.column("gone").to_pylist(), _text_key(w).tolist()
+            lists = b.column("gone").to_pylist()
+            key = _above(text_names(w)[:, 0]) if any(lists) else None
             for i, x in enumerate(lists):
                 if x:
-                    at = np.unique(np.array(x, np.int64))
-                    at = at[at >> 32 == key[i] >> 32] & ALL
-                    if len(at) and at[-1] == ALL:
-                        at = np.arange(w.docs[i + 1] - w.docs[i] - window + 1)
-                    delta[w.docs[i] + at] += 1
-                    delta[w.docs[i] + at + window] -= 1
+                    at = np.array([(r["place"], r["n"]) for r in x], np.int64)
+                    at = at[at[:, 0] >> 32 == key[i] >> 32]
+                    first, n = w.docs[i] + (at[:, 0] & 0xFFFFFFFF), at[:, 1]
+                    np.add.at(delta, first, 1)
+                    np.add.at(delta, np.where(n == ALL, w.docs[i + 1], np.minimum(first + n - 1 + window, w.docs[i + 1])), -1)
             gone = np.cumsum(delta[:-1]) > 0
             data, texts_ = w.data.tobytes(), []
             start, end = w.start[~gone].tolist(), w.end[~gone].tolist()
@@ -253,33 +250,52 @@ def _kept(texts: DataFrame, window: int, keep_text: bool) -> DataFrame:
                 texts_.append(b" ".join([data[p:q] for p, q in zip(start[a:z], end[a:z], strict=True)]))
             count = w.count()
             columns = [b.column("doc_id"), pa.array(count, pa.int64()), pa.array(count - np.diff(left), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts_], pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            own = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if keep_text:
                 columns.append(pa.array([x.decode() for x in texts_], pa.string()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                own.append("kept")
+            yield pa.RecordBatch.from_arrays(columns, own)
 
     return small_batches(texts).mapInArrow(task, KEPT + ", kept string" * keep_text)
 
 
+def _later(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (k1, k2, doc_id, place, n): the first one of each name, and the places of those in larger documents."""
+    first = cut(rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n")).alias("first"), F.max("doc_id").alias("hi"), F.count("*").alias("times")), "first")
+    several = first.where("first.doc_id < hi").select("k1", "k2", F.col("first.doc_id").alias("lo"), "times")
+    return first, looked_up(rows, several, ["k1", "k2"], total).where("doc_id > lo").select("doc_id", "place", "n")
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row; with keep_text, the kept words joined by spaces too."""
     ship(docs.sparkSession)
     parsed = cut(_parsed(docs, window), "parsed")
-    names = parsed.select("doc_id", "n1", "n2")
+    texts = parsed.select("doc_id", "n1", "n2")
     # copies of a whole text: all their windows start in its smallest document
-    lowest = names.groupBy("n1", "n2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("n1", "n2", "lo")
-    copies = cut(names.join(lowest, ["n1", "n2"]).where("doc_id > lo").select("doc_id", "n1", "n2").distinct(), "copies")
-    own = cut(parsed.join(copies, ["doc_id", "n1", "n2"], "left_anti").select("doc_id", "marks"), "own")
-    marks = own.select(F.explode("marks").alias("mark"), "doc_id")
-    shared = cut(marks.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("mark"), "shared")
-    lists = cut(_in_filter(own, shared).join(shared, "mark").groupBy("doc_id").agg(F.collect_list("mark").alias("marks")), "lists")
-    near, _ = _some(docs, lists.select(F.col("doc_id").alias("id")))
-    found = cut(_windows(near.join(lists, "doc_id").select("doc_id", "text", "marks"), window), "windows")
-    first = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
-    later = found.join(first, ["k1", "k2"]).where("doc_id > lo").select("doc_id", "place")
-    whole = copies.select("doc_id", F.expr(f"shiftleft(shiftright(n1, 32), 32) | {ALL}L").alias("place"))
-    gone = cut(later.union(whole).groupBy("doc_id").agg(F.collect_list("place").alias("gone")), "gone")
+    lowest = texts.groupBy("n1", "n2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("times")).where("lo < hi").select("n1", "n2", "lo", "times")
+    copies = cut(looked_up(texts, lowest, ["n1", "n2"], texts.count()).where("doc_id > lo").select("doc_id", "n1", "n2").distinct(), "copies")
+    own = cut(parsed.join(copies, ["doc_id", "n1", "n2"], "left_anti").select("doc_id", "n1", "runs"), "own")
+    uncut(parsed)
+    marks = own.select("doc_id", F.explode(F.array_distinct(F.transform("runs", lambda r: r["mark"]))).alias("mark"))
+    shared = cut(marks.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("times")).where("lo < hi").select("mark", "times"), "shared")
+    near = cut(_in_filter(own, shared), "near")
+    runs = cut(looked_up(near, shared, ["mark"], near.count()).select("k1", "k2", "doc_id", "place", "n"), "runs")
+    for done in (own, shared, near):
+        uncut(done)
+    first, later = _later(runs, runs.count())
+    later = cut(later, "later")
+    uncut(runs)
+    lists = cut(first.select("first.*").groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("runs")), "lists")
+    uncut(first)
+    some, _ = _some(docs, lists.select(F.col("doc_id").alias("id")))
+    found = cut(_windows(some.join(lists, "doc_id").select("doc_id", "text", "runs"), window), "windows")
+    uncut(lists)
+    first, single = _later(found, found.count())
+    whole = copies.select("doc_id", F.expr("shiftleft(shiftright(n1, 32), 32)").alias("place"), F.lit(ALL).alias("n"))
+    gone = cut(later.union(single).union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("gone")), "gone")
+    for done in (first, found, later, copies):
+        uncut(done)
     some, rest = _some(docs, gone.select(F.col("doc_id").alias("id")))
     hit = some.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
-    return _kept(hit, window, keep_text).union(_kept(rest.withColumn("gone", F.lit(None).cast("array<long>")), window, keep_text))
+    none = F.lit(None).cast("array<struct<place:long,n:int>>")
+    return _kept(hit, window, keep_text).union(_kept(rest.withColumn("gone", none), window, keep_text))

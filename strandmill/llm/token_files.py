@@ -102,7 +102,7 @@ def encoded(column: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray
     White space always parts tokens of this vocabulary and yields none, so words are its exact pieces.
     """
     w = words(column, SPACED, lower=False)
-    ids, size = pieces.encoder(path, "<|startoftext|>").ids(w.data, w.start, w.end, w.hash)
+    ids, size = pieces.encoder(path, "<|startoftext|>").ids(w.data.tobytes(), w.eight, w.start, w.end)
     count = np.diff(np.concatenate([[0], np.cumsum(size)])[w.docs])
     if end_id is None:
         return ids, count
