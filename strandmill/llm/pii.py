@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.spans import apart, joined, matches, tagged
+from strandmill.llm.spans import joined, matches, overlapping, tagged
 from strandmill.session import cut
 
 # The base patterns, without steps back.
@@ -104,18 +104,18 @@ def private_data(docs: DataFrame, digits: int = DIGITS, rounds: int = ROUNDS, tr
         rows.select(
             "doc_id", "key",
             F.array_sort(F.transform("base", lambda s: F.struct(s["order"].alias("order"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("base"),
-            "seen",
+            "seen", overlapping(F.col("seen"), F.col("base")).alias("seeds"),
         ),
         "pii",
     )
-    each = rows.where(F.size("seen") > 0).select("doc_id", "key", "base", F.explode("seen").alias("s")).select("doc_id", "key", "s.*", F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"])).alias("seed"))
+    each = rows.where(F.size("seen") > 0).select("doc_id", "key", F.explode(F.arrays_zip(F.col("seen").alias("s"), F.col("seeds").alias("seed"))).alias("x")).select("doc_id", "key", "x.s.*", "x.seed")
     patterns = bootstrapped(each, rounds, trust, support)
     new = each.where(~F.col("seed")).join(patterns, "pattern").select("doc_id", "key", "start", "end").distinct()
     added = new.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct(F.lit(len(KINDS)).alias("order"), "start", "end", F.lit("found").alias("kind")))).alias("new"))
     slim = rows.select("doc_id", "key", "base")
     both = slim.join(added, (slim.doc_id.eqNullSafe(added.doc_id)) & (slim.key == added.key), "left").select(slim.doc_id, "base", "new")
     none = F.expr("cast(array() as array<struct<order:int,start:int,end:int,kind:string>>)")
-    return both.select("doc_id", "base", F.concat("base", apart(F.coalesce("new", none), F.col("base"))).alias("found"))
+    return both.select("doc_id", "base", F.concat("base", F.coalesce("new", none)).alias("found"))
 
 
 def personal(docs: DataFrame) -> DataFrame:

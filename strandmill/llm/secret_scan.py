@@ -7,7 +7,9 @@ characters is a secret if the mean log-likelihood ratio of its transitions reach
 the fixed patterns are left to them. Everything runs as column expressions; training shuffles distinct words, and the scan is
 one pass over the texts with no shuffle.
 
-Null texts have no spans, and repeated rows are kept. Other columns are ignored, but ``keep`` carries them along.
+Null and empty texts have no spans, repeated rows are kept, and an empty table gives no rows; the made samples train alone then.
+Time and memory follow a text's length, however long its runs and however many its matches. Other columns are ignored, but
+``keep`` carries them along: one with a name of the result's own comes back with "_in" behind it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.spans import apart, joined, matches, tagged
+from strandmill.llm.spans import apart, joined, let, matches, replaced, tagged
+from strandmill.llm.words import carried
 
 # The base patterns. The assigned value is checked after the match, the others' lengths within the pattern:
 # a run that is too short holds no shorter match, so both ways drop the same ones.
@@ -80,27 +83,33 @@ def train(labelled: DataFrame) -> list[float]:
 
 
 def randomness(text: Column, ratios: list[float]) -> Column:
-    """The mean log-likelihood ratio of a string's transitions; a transition from or to other characters counts 0."""
+    """The mean log-likelihood ratio of the transitions of a string of ASCII characters; others count 0."""
     table = F.expr(f"cast(split('{','.join(f'{x:.4f}' for x in ratios)}', ',') as array<double>)")
-    n = F.length(text) - 1
 
-    def step(total: Column, i: Column) -> Column:
-        a, b = F.ascii(F.substr(text, i, F.lit(1))) - _LOW, F.ascii(F.substr(text, i + 1, F.lit(1))) - _LOW
-        ok = (a >= 0) & (a < _WIDTH) & (b >= 0) & (b < _WIDTH)
-        return total + F.when(ok, F.get(table, a * _WIDTH + b)).otherwise(F.lit(0.0))
+    def scored(bytes_: Column) -> Column:
+        n = F.octet_length(bytes_) - 1
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), step) / n).otherwise(F.lit(0.0))
+        def step(total: Column, i: Column) -> Column:
+            two = F.substr(bytes_, i, F.lit(2)).cast("string")
+            a, b = F.ascii(two) - _LOW, F.ascii(F.substring(two, 2, 1)) - _LOW
+            ok = (a >= 0) & (a < _WIDTH) & (b >= 0) & (b < _WIDTH)
+            return total + F.when(ok, F.get(table, a * _WIDTH + b)).otherwise(F.lit(0.0))
+
+        return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), step) / n).otherwise(F.lit(0.0))
+
+    # bytes are found at once, the code points of a string only from its start on
+    return let(text.cast("binary"), scored)
 
 
 def scanned(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """doc_id, base (spans of the fixed patterns) and found (all spans), as array<struct<start, order, end, kind>> by start."""
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(matches(text, ASSIGN, 1), lambda s: F.length(s["value"]) >= 6)
-    own = [c for c in keep or [] if c != "doc_id"]
-    step = docs.select(F.col("doc_id"), *own, F.concat(tagged(assign, "assign", 0), tagged(matches(text, ACCESS, has="AKIA"), "access", 1), tagged(matches(text, HEX), "hex", 2)).alias("_base"), matches(text, CANDIDATE).alias("_long"))
+    columns, names = carried(docs, [c for c in keep or [] if c != "doc_id"], "doc_id, base, found, _base, _long")
+    step = docs.select(F.col("doc_id"), *columns, F.concat(tagged(assign, "assign", 0), tagged(matches(text, ACCESS, has="AKIA"), "access", 1), tagged(matches(text, HEX), "hex", 2)).alias("_base"), matches(text, CANDIDATE).alias("_long"))
     random = F.filter(F.col("_long"), lambda s: randomness(s["match"], ratios) >= threshold)
     found = apart(tagged(random, "random", 3), F.col("_base"))
-    return step.select("doc_id", *own, F.array_sort("_base").alias("base"), F.array_sort(F.concat("_base", found)).alias("found"))
+    return step.select("doc_id", *names, F.array_sort("_base").alias("base"), F.array_sort(F.concat("_base", found)).alias("found"))
 
 
 def secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -113,13 +122,4 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with its spans (sorted by start, perhaps overlapping) replaced by ``mark``."""
-    none = F.lit("")
-    out = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, out).otherwise(text)
-
-
+    return replaced(text, spans, mark)
