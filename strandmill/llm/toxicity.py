@@ -2,14 +2,17 @@
 
 A lexicon is learned first: words, and word beginnings of 4 to 6 bytes, that labelled toxic training texts hold far more
 often than clean ones. The dense features are lexicon densities (plain and after undoing obfuscation), closeness of lexicon
-words to the second person, capitals, punctuation and obfuscation rates, and lengths. Trees are fitted on three quarters of
-the training sample, and the isotonic map from margins to probabilities on the rest.
-
-The training sample has at most ``most_rows`` labelled rows, those with the smallest hashes of ``doc_id``; only they are used
-for learning, and every text is scored. Labels, language, source and doc_id are no inputs of a score. Null texts score as
-empty ones. Rows of labels whose doc_id or label is null or that match no document are left out; of repeated labels of a
-document the largest counts; repeated documents are scored alike. Without labels of both kinds every score is their share of
-toxic ones (0 if there are none). Other columns are ignored, but ``keep`` carries them along.
+words to the second person, capitals, punctuation and obfuscation rates, and lengths. Lexicon and trees are fitted on three
+quarters of the training sample, by a hash of doc_id, and the isotonic map from margins to probabilities on the rest, which
+neither has seen.
+
+The training sample has at most ``most_rows`` labelled documents, those with the smallest hashes of ``doc_id``; only they are
+used for learning, and every text is scored. Labels, language, source and doc_id are no inputs of a score. Null texts score as
+empty ones. Rows of labels whose doc_id or label is null or that match no document are left out before anything is counted; of
+repeated labels of a document the largest counts, and of several texts of one doc_id the smallest is learned from; repeated
+documents are scored alike, and empty tables give no rows. Without labels of both kinds every score is their share of toxic
+ones (0 if there are none). Other columns are ignored, but ``keep`` carries them along: one with a name of the result's own
+comes back with "_in" behind it. A text takes some 150 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.words import ALNUM, SPACED, buffer, sliced, small_batches, spans, words
-from strandmill.session import ship
+from strandmill.llm.words import ALNUM, SPACED, buffer, carried, hashes, sliced, small_batches, words
+from strandmill.session import cut, ship, uncut
 
 MOST_ROWS, THRESHOLD, LEXICON, LEAST_DOCS = 20_000, 0.3, 1000, 4
 BEGINNINGS = (4, 5, 6)
@@ -67,7 +70,7 @@ def terms(w) -> list[tuple[np.ndarray, np.ndarray]]:
     out = [(np.arange(len(w.hash)), w.hash)]
     for k in BEGINNINGS:
         at = np.flatnonzero(size > k)
-        out.append((at, spans(w.prefix, w.start[at], w.start[at] + k) ^ np.uint64(k)))
+        out.append((at, hashes(w.eight, w.start[at], w.start[at] + k) ^ np.uint64(k)))
     return out
 
 
@@ -268,23 +271,37 @@ def remainder(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def sample(labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """(doc_id, toxic) of the training rows: those whose remainder is not 2, at most most_rows, by the hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(doc_id, toxic) of the training documents: those labelled whose remainder is not 2, at most most_rows, by the hash of
+    doc_id."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(F.coalesce(remainder("doc_id"), F.lit(2)) != 2)
-    return own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    return there.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
 
 
 def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
     """Fit the model; the driver gets at most most_rows rows of features and the lexicon's top entries."""
     spark = docs.sparkSession
     ship(spark)
-    chosen = spark.createDataFrame(sample(labels, most_rows).collect(), "doc_id long, toxic int")
-    texts = small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text", remainder("doc_id").alias("part")))
+    chosen = spark.createDataFrame(sample(docs, labels, most_rows).collect(), "doc_id long, toxic int")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rest = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 3
+    texts = small_batches(cut(joined.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text", rest.cast("int").alias("rest")), "sample"))
+    totals = {(r.toxic, r.rest): r.n for r in texts.groupBy((F.col("toxic") > 0).cast("int").alias("toxic"), "rest").agg(F.count("*").alias("n")).collect()}
+    n = sum(totals.values())
+    share = (totals.get((1, 0), 0) + totals.get((1, 1), 0)) / max(1, n)
+    empty = Lexicon([np.zeros(0, np.uint64)] * (1 + len(BEGINNINGS)), [np.zeros(0)] * (1 + len(BEGINNINGS)))
+    if share in (0, 1):
+        return Model(empty, None, None, share)
+    # too few labels for two parts: all serve for both
+    apart = all(totals.get((t, r), 0) for t in (0, 1) for r in (0, 1))
+    fitted = texts.where("rest = 0") if apart else texts
+    n_bad, n_good = (sum(x for (t, r), x in totals.items() if t == kind and (r == 0 or not apart)) for kind in (1, 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             w = words(b.column(1), ALNUM, lower=True)
-            toxic = b.column(0).to_numpy()
+            toxic = (b.column(0).to_numpy() > 0).astype(np.int64)
             doc = np.repeat(np.arange(b.num_rows), w.count())
             for kind, (at, h) in enumerate(terms(w)):
                 order = np.lexsort((doc[at], h))
@@ -296,16 +313,10 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
                 bad = np.bincount(back, toxic[ds], len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(bad), pa.array(np.bincount(back, minlength=len(u)) - bad)], ["kind", "term", "bad", "good"])
 
-    totals = {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_bad, n_good = totals.get(1, 0), sum(totals.values()) - totals.get(1, 0)
-    share = n_bad / max(1, n_bad + n_good)
-    empty = Lexicon([np.zeros(0, np.uint64)] * (1 + len(BEGINNINGS)), [np.zeros(0)] * (1 + len(BEGINNINGS)))
-    if not n_bad or not n_good:
-        return Model(empty, None, None, share)
     odds = F.log(((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("good") + 0.5) / (n_good + 1)))
     # of terms with these odds, few are there by chance: the score is odds times the root of what carries them
     top = (
-        texts.mapInArrow(count, "kind int, term long, bad long, good long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        fitted.mapInArrow(count, "kind int, term long, bad long, good long").groupBy("kind", "term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .where(F.col("bad") >= LEAST_DOCS).withColumn("odds", odds).where("odds > 1.5")
         .orderBy((F.col("odds") * F.sqrt("bad")).desc(), "kind", "term").limit(LEXICON).collect()
     )
@@ -320,40 +331,33 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             x = features(b.column(1), sent.value).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["toxic", "part", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["toxic", "rest", "x"])
 
-    got = texts.mapInArrow(rows, "toxic int, part long, x binary").collect()
-    if not got:
-        return Model(empty, None, None, share)
+    got = texts.mapInArrow(rows, "toxic int, rest int, x binary").collect()
+    uncut(texts)
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(len(got), -1).astype(float)
-    y = np.array([r.toxic for r in got], float)
+    y, held = np.array([r.toxic > 0 for r in got], float), np.array([r.rest for r in got], bool)
     # rows come in any order; training must not depend on it
-    order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order]
-    rest = np.arange(len(y)) % 4 == 3
-    if len(set(y[~rest])) < 2 or len(set(y[rest])) < 2:
-        rest = np.ones(len(y), bool)
-        fit = rest
-    else:
-        fit = ~rest
-    if len(set(y)) < 2:
-        return Model(lexicon, None, None, share)
+    order = np.lexsort((*x.T, y, held))
+    x, y, held = x[order], y[order], held[order]
+    fit = ~held if apart else np.ones(len(y), bool)
     trees = Trees().fit(x[fit], y[fit])
-    return Model(lexicon, trees, isotonic(trees.margin(x[rest]), y[rest]), share)
+    after = held if apart else fit
+    return Model(lexicon, trees, isotonic(trees.margin(x[after]), y[after]), share)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; keep: other columns to carry along."""
     ship(docs.sparkSession)
-    keep = keep or []
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    columns, names = carried(docs, keep, "doc_id, held_out, score, predicted, _text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
-            s = sent.value.score(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(b.column(c) for c in keep)], ["doc_id", "score", "predicted", *keep])
+        for b in sliced(batches, "_text"):
+            s = sent.value.score(b.column("_text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *(b.column(c) for c in names)], ["doc_id", "score", "predicted", *names])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in keep if c not in ("doc_id", "text")])
-    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *columns)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in names)
     out = small_batches(source).mapInArrow(task, "doc_id long, score double, predicted int" + kinds)
-    return out.withColumn("held_out", F.coalesce(remainder("doc_id") == 2, F.lit(False)))
+    return out.select("doc_id", F.coalesce(remainder("doc_id") == 2, F.lit(False)).alias("held_out"), "score", "predicted", *names)
