@@ -2,7 +2,12 @@
 
 The parser reads EBML elements with variable-length ids and sizes (unknown sizes included), tracks, clusters, SimpleBlocks
 and BlockGroups with all four lacings, and cues. A packet row holds its track, timestamp, cluster, lacing, key-frame flag and
-the byte range of its data within the file, so data can be cut out without parsing again. Null media have no packets.
+the byte range of its data within the file, so data can be cut out without parsing again. The packets of a lace follow one
+another by the track's default duration, else by the samples that PCM bytes make, else by their share of the block's duration,
+else all have the block's time. Packets of a group are key frames unless it refers to another block.
+
+Null media have no packets, and null texts are stored as empty ones. Repeated rows are kept, equal texts give equal values, an
+empty table gives no rows, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from strandmill.session import ship
 
 # Matroska's element ids.
 EBML, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
-TRACKS, ENTRY, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIME, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+TRACKS, ENTRY, NUMBER, UID, KIND, CODEC, EACH, AUDIO, RATE, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
+CLUSTER, TIME, SIMPLE, GROUP, BLOCK, LASTS, REFERS = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, POINT, CUE_TIME, CUE_AT, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
@@ -95,7 +100,7 @@ def write(payload: bytes, frame: int = FRAME) -> bytes:
     head = element(EBML, element(0x4282, b"matroska") + element(0x4287, b"\x04") + element(0x4285, b"\x02"))
     info = element(INFO, element(SCALE, _number(1_000_000)) + element(DURATION, struct.pack(">d", len(payload) * 1000 / SAMPLES)))
     audio = element(AUDIO, element(RATE, struct.pack(">d", float(SAMPLES))) + element(CHANNELS, b"\x01") + element(DEPTH, b"\x08"))
-    tracks = element(TRACKS, element(ENTRY, element(NUMBER, b"\x01") + element(UID, b"\x01") + element(KIND, b"\x02") + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(ENTRY, element(NUMBER, b"\x01") + element(UID, b"\x01") + element(KIND, b"\x02") + element(CODEC, b"A_PCM/INT/LIT") + element(EACH, _number(frame * 10**9 // SAMPLES)) + audio))
     body, at, points = [info, tracks], len(info) + len(tracks), []
     for c in range(0, len(frames), FRAMES * BLOCKS):
         base = c * frame * 1000 // SAMPLES
@@ -193,8 +198,27 @@ def _frames(data: bytes, i: int, end: int, lacing: int) -> list[tuple[int, int]]
     return [*out, (i, end)]
 
 
+def _real(data: bytes, a: int, b: int) -> float:
+    return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b - a in (4, 8) else 0.0
+
+
+def _duration(data: bytes, own: dict[int, tuple[int, int]]):
+    """How many nanoseconds a packet of a track lasts by its bytes; None where the track does not tell."""
+    if EACH in own:
+        each = _uint(data, *own[EACH])
+        return lambda size: each
+    if AUDIO in own and data[slice(*own[CODEC])].startswith(b"A_PCM"):
+        audio = {y: (r, s) for y, _, r, s in elements(data, *own[AUDIO])}
+        rate = _real(data, *audio[RATE]) if RATE in audio else 8000.0
+        bits = (_uint(data, *audio[CHANNELS]) if CHANNELS in audio else 1) * (_uint(data, *audio[DEPTH]) if DEPTH in audio else 0)
+        if rate > 0 and bits:
+            return lambda size: round(size * 8 * 1e9 / bits / rate)
+    return None
+
+
 def parse(data: bytes) -> Media:
     tracks, packets, cues, clusters, scale = [], [], [], [], 1_000_000
+    lasts: dict[int, object] = {}
     for top, _, at, stop in elements(data, 0, len(data)):
         if top != SEGMENT:
             continue
@@ -208,6 +232,7 @@ def parse(data: bytes) -> Media:
                 for x, _, p, q in elements(data, a, b):
                     if x == ENTRY:
                         own = {y: (r, s) for y, _, r, s in elements(data, p, q)}
+                        lasts[_uint(data, *own[NUMBER])] = _duration(data, own)
                         tracks.append((_uint(data, *own[NUMBER]), _uint(data, *own[KIND]), data[slice(*own[CODEC])].decode("ascii", "replace")))
             elif id_ == CLUSTER:
                 clusters.append(start)
@@ -216,17 +241,27 @@ def parse(data: bytes) -> Media:
                     if x == TIME:
                         base = _uint(data, p, q)
                         continue
+                    inner: dict[int, tuple[int, int]] = {}
                     if x == GROUP:
-                        inner = [(r, s) for y, _, r, s in elements(data, p, q) if y == BLOCK]
-                        if not inner:
+                        for y, _, r, s in elements(data, p, q):
+                            inner.setdefault(y, (r, s))
+                        if BLOCK not in inner:
                             continue
-                        p, q = inner[0]
+                        p, q = inner[BLOCK]
                     elif x != SIMPLE:
                         continue
                     track, i, _ = _vint(data, p, keep=False)
                     time, flags = struct.unpack_from(">hB", data, i)
                     lacing = flags >> 1 & 3
-                    packets += [Packet(track, (base + time) * scale, len(clusters) - 1, block, lacing, x == SIMPLE and bool(flags & 0x80), r, s - r) for r, s in _frames(data, i + 3, q, lacing)]
+                    key = bool(flags & 0x80) if x == SIMPLE else REFERS not in inner
+                    frames, now = _frames(data, i + 3, q, lacing), (base + time) * scale
+                    each = lasts.get(track)
+                    if each is None:
+                        share = _uint(data, *inner[LASTS]) * scale // len(frames) if LASTS in inner else 0
+                        each = lambda size, share=share: share
+                    for r, s in frames:
+                        packets.append(Packet(track, now, len(clusters) - 1, block, lacing, key, r, s - r))
+                        now += each(s - r)
                     block += 1
             elif id_ == CUES:
                 for x, _, p, q in elements(data, a, b):
