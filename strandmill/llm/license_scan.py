@@ -9,8 +9,9 @@ A retrieved window is widened by a quarter to either side, and the share of the
 containment; matches need ``LEAST``. To keep sketches off texts that cannot match, only windows that hold a template's shingle
 at all are sketched.
 
-Templates are few and given by the caller; their size is checked before they are sent out. Null and empty texts have no
-matches, equal templates under two names match both, and repeated rows are kept. Other columns are ignored.
+Templates are a dictionary or a table (name, text) of the caller's, or those below; their size is checked before they are sent
+out. Null and empty texts and null templates have no matches, equal templates under two names match both, repeated rows are kept,
+and an empty table gives no rows. Other columns are ignored. A text takes some 60 bytes of memory for each of its own.
 """
 
 from __future__ import annotations
@@ -42,6 +43,12 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "lgpl-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "cc0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -162,9 +169,19 @@ class Index:
 FOUND = "doc_id long, n_words long, matches array<struct<license:string,start:long,end:long,containment:double>>"
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def _given(templates: DataFrame) -> dict[str, str]:
+    rows = templates.select(F.col("name").cast("string").alias("name"), "text").where("name is not null and text is not null")
+    size = rows.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"templates hold more than {MOST_BYTES} bytes: scan in several calls")
+    return {r["name"]: r["text"] for r in rows.orderBy("name", "text").collect()}
+
+
+def licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
     """doc_id, n_words and the matches of each license that do not overlap (word positions, end exclusive), by name and start."""
     ship(docs.sparkSession)
+    if isinstance(templates, DataFrame):
+        templates = _given(templates)
     index = Index(templates if templates is not None else TEMPLATES, shingle, least)
     sent = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
