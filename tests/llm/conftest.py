@@ -3,6 +3,9 @@ import pytest
 LONG = " ".join(f"word{i % 977}x" for i in range(6000))
 PASSAGE = " ".join(f"shared{i}" for i in range(70))
 BASE = [f"term{i}" for i in range(120)]
+#: Strings that a polynomial modulo a power of two cannot tell apart.
+MORSE = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024)) for flip in (0, 1)]
+SIXTY = [f"morse{i}" for i in range(60)]
 ROWS = [
     (1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"),
     (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"),
@@ -27,6 +30,15 @@ ROWS = [
     (20, "Licensed under the Apache License, Version 2.0. Released under the MIT License."),
     (21, "spam " * 200),
     (22, "<|endoftext|> odd <|startoftext|>  text with　spaces\r\n\r\nend"),
+    (23, MORSE[0]),
+    (24, MORSE[1]),
+    (25, " ".join([*SIXTY[:30], MORSE[0], *SIXTY[31:]])),
+    (26, " ".join([*SIXTY[:30], MORSE[1], *SIXTY[31:]])),
+    (27, f"x {MORSE[0]} y z"),
+    (28, f"x {MORSE[1]} y z"),
+    (29, f"{MORSE[0]} " + " ".join(f"w{i}" for i in range(12))),
+    (30, " ".join(MORSE[0][i] for i in range(1024))),
+    (31, " ".join(MORSE[1][i] for i in range(1024))),
     (None, "nobody owns this text"),
 ]
 

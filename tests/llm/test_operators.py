@@ -6,6 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.conftest import MORSE
+
 from strandmill.llm import bpe, decontaminate, license_scan, matroska, near_dedup, pii, queries, recompress, secret_scan, token_files, toxicity
 
 
@@ -96,7 +98,7 @@ def test_one_doc_id_with_two_texts(spark):
 
 
 def test_contamination(spark, docs, rows, empty):
-    items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"), (2, "One"), (10, " ".join(f"shared{i}" for i in range(30))), (3, None), (4, "..."), (5, "two words")]
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"), (2, "One"), (10, " ".join(f"shared{i}" for i in range(30))), (3, None), (4, "..."), (5, "two words"), (6, f"{MORSE[1]} " + " ".join(f"w{i}" for i in range(12))), (7, f"{MORSE[1]}")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
     windows = {}
@@ -115,8 +117,7 @@ def test_contamination(spark, docs, rows, empty):
         want.append((i, len(w), len(hit), ",".join(sorted(found)), bool(hit) and 20 * len(hit) >= len(w)))
     pick = lambda d: d.select("doc_id", "n_words", "n_hit", F.array_join("items", ","), "contaminated")
     assert bag(pick(decontaminate.contamination(docs, bench))) == Counter(want)
-    single = {x[0]: x for x in want}
-    assert {r[0]: tuple(r) for r in pick(decontaminate.contamination(docs, bench, block_bytes=60)).collect()} == single
+    assert bag(pick(decontaminate.contamination(docs, bench, block_bytes=700))) == Counter(want)
     assert decontaminate.contamination(empty, bench).count() == 0
     assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
@@ -255,10 +256,10 @@ def test_ratios_count_all_documents(spark):
             assert abs(got[(ord(a) - 33) * 94 + ord(b) - 33] - want) < 1e-9
 
 
-def test_personal_data(docs, empty):
+def test_personal_data(docs, rows, empty):
     got = {r.doc_id: r for r in pii.personal(docs).collect()}
     assert (got[17].n_email, got[17].n_ip, got[17].n_card, got[17].n_phone) == (1, 1, 1, 1)
-    assert got[3].spans == "" and len(got) == 23
+    assert got[3].spans == "" and len(got) == len({i for i, _ in rows})
     assert pii.personal(empty).count() == 0
 
 
@@ -351,7 +352,7 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, base).collect()}
     # near copies of smaller ids go (14, 15 and 16 share all but a few words), and so do the passage's documents
-    assert got == {None, 1, 3, 4, 5, 6, 8, 9, 14, 17, 18, 19, 20, 21, 22}
+    assert got == {None, 1, 3, 4, 5, 6, 8, 9, 14, 17, 18, 19, 20, 21, 22, 23, 24, 25, 27, 28, 29, 30}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "secrets", "bpe"]
 
 
