@@ -33,11 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.id_filter import id_filter, maybe
-from strandmill.llm.joins import looked_up
+from strandmill.llm.joins import MOST_HEAVY, looked_up
 from strandmill.llm.words import SPACED, U, joined, mix, names, sliced, small_batches, text_names, words
 from strandmill.session import cut, ship, uncut
 
@@ -221,8 +221,8 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     return small_batches(docs).mapInArrow(task, "k1 long, k2 long, doc_id long, place long, n int")
 
 
-#: The number of windows that stands for all of a text.
-ALL = 0
+#: The number of windows that stands for all of a text, and rows of a broadcast table of copies (16 MB).
+ALL, MOST_COPIES = 0, 1 << 18
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -259,11 +259,25 @@ def _kept(texts: DataFrame, window: int, keep_text: bool) -> DataFrame:
     return small_batches(texts).mapInArrow(task, KEPT + ", kept string" * keep_text)
 
 
-def _later(rows: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (k1, k2, doc_id, place, n): the first one of each name, and the places of those in larger documents."""
-    first = cut(rows.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "place", "n")).alias("first"), F.max("doc_id").alias("hi"), F.count("*").alias("times")), "first")
-    several = first.where("first.doc_id < hi").select("k1", "k2", F.col("first.doc_id").alias("lo"), "times")
-    return first, looked_up(rows, several, ["k1", "k2"], total).where("doc_id > lo").select("doc_id", "place", "n")
+def _ranked(rows: DataFrame, total: int) -> DataFrame:
+    """rows (k1, k2, doc_id, place, n) with ``lo``, the smallest document of the same name, and whether they are the ``first``
+    of their name, by doc_id and place.
+
+    Rows are shuffled once and ranked within their name. Names that a sample shows to hold more than a share of about
+    1 / MOST_HEAVY of all rows, 2 * MOST_HEAVY at most, are aggregated first and joined back by broadcast instead.
+    """
+    keys, share = ["k1", "k2"], min(1.0, 200_000 / max(1, total))
+    least = max(20.0, share * max(1000, total // MOST_HEAVY) / 2)
+    counted = rows.sample(fraction=share, seed=7).groupBy(*keys).agg(F.count("*").alias("times")).where(F.col("times") > least)
+    heavy = rows.sparkSession.createDataFrame(counted.orderBy(F.col("times").desc()).limit(2 * MOST_HEAVY).select(*keys).collect(), "k1 long, k2 long")
+    by = Window.partitionBy(*keys).orderBy("doc_id", "place")
+    ranked = lambda x: x.select("doc_id", "place", "n", F.first("doc_id").over(by).alias("lo"), (F.row_number().over(by) == 1).alias("first"))
+    if heavy.isEmpty():
+        return ranked(rows)
+    hot = rows.join(F.broadcast(heavy), keys, "left_semi")
+    least_of = hot.groupBy(*keys).agg(F.min(F.struct("doc_id", "place")).alias("least"))
+    joined_ = hot.join(F.broadcast(least_of), keys).select("doc_id", "place", "n", F.col("least.doc_id").alias("lo"), (F.struct("doc_id", "place") == F.col("least")).alias("first"))
+    return ranked(rows.join(F.broadcast(heavy), keys, "left_anti")).union(joined_)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
@@ -274,26 +288,26 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = Fal
     # copies of a whole text: all their windows start in its smallest document
     lowest = texts.groupBy("n1", "n2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("times")).where("lo < hi").select("n1", "n2", "lo", "times")
     copies = cut(looked_up(texts, lowest, ["n1", "n2"], texts.count()).where("doc_id > lo").select("doc_id", "n1", "n2").distinct(), "copies")
-    own = cut(parsed.join(copies, ["doc_id", "n1", "n2"], "left_anti").select("doc_id", "n1", "runs"), "own")
-    uncut(parsed)
-    marks = own.select("doc_id", F.explode(F.array_distinct(F.transform("runs", lambda r: r["mark"]))).alias("mark"))
-    shared = cut(marks.groupBy("mark").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("times")).where("lo < hi").select("mark", "times"), "shared")
+    gone_by = copies if copies.count() > MOST_COPIES else F.broadcast(copies)
+    own = parsed.join(gone_by, ["doc_id", "n1", "n2"], "left_anti").select("doc_id", "n1", "runs")
+    # a document's marks are distinct, so a mark that counts twice is in several (or in repeated rows, which costs time only)
+    marks = own.select(F.explode(F.array_distinct(F.transform("runs", lambda r: r["mark"]))).alias("mark"))
+    shared = cut(marks.groupBy("mark").agg(F.count("*").alias("times")).where("times > 1"), "shared")
     near = cut(_in_filter(own, shared), "near")
+    uncut(parsed)
     runs = cut(looked_up(near, shared, ["mark"], near.count()).select("k1", "k2", "doc_id", "place", "n"), "runs")
-    for done in (own, shared, near):
+    for done in (shared, near):
         uncut(done)
-    first, later = _later(runs, runs.count())
-    later = cut(later, "later")
+    ranked = cut(_ranked(runs, runs.count()), "ranked")
     uncut(runs)
-    lists = cut(first.select("first.*").groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("runs")), "lists")
-    uncut(first)
+    lists = cut(ranked.where("first").groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("runs")), "lists")
     some, _ = _some(docs, lists.select(F.col("doc_id").alias("id")))
     found = cut(_windows(some.join(lists, "doc_id").select("doc_id", "text", "runs"), window), "windows")
     uncut(lists)
-    first, single = _later(found, found.count())
     whole = copies.select("doc_id", F.expr("shiftleft(shiftright(n1, 32), 32)").alias("place"), F.lit(ALL).alias("n"))
-    gone = cut(later.union(single).union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("gone")), "gone")
-    for done in (first, found, later, copies):
+    later = ranked.union(_ranked(found, found.count())).where("doc_id > lo").select("doc_id", "place", "n")
+    gone = cut(later.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("gone")), "gone")
+    for done in (ranked, found, copies):
         uncut(done)
     some, rest = _some(docs, gone.select(F.col("doc_id").alias("id")))
     hit = some.join(gone, "doc_id", "left").select("doc_id", "text", "gone")
