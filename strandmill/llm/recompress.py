@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.id_filter import id_filter, maybe
-from strandmill.llm.joins import MOST_HEAVY, looked_up
 from strandmill.llm.words import SPACED, U, joined, mix, names, sliced, small_batches, text_names, words
+from strandmill.operators.joins import MOST_HEAVY, looked_up
 from strandmill.session import cut, ship, uncut
 
 WINDOW = 50
