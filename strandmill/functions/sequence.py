@@ -88,10 +88,13 @@ def generate_kmers_in_order(seq, k: int, errors: str = "N", canonical: bool = Tr
 
 
 def random_kmer(seq, k: int, seed: int) -> Column:
-    """A window at a random place of a random strand; null if the sequence is no longer than k."""
+    """A window at a random place of a random strand; null if the sequence is no longer than k. Drawn by the MD5 of seed and
+    sequence, so a task that runs again draws the same."""
     s = _col(seq)
-    strand = F.when(F.rand(seed + 1) < 0.5, s).otherwise(reverse_complement(s))
-    return F.when(F.length(s) > k, F.substr(strand, (F.floor(F.rand(seed) * (F.length(s) - k)) + 1).cast("int"), F.lit(k)))
+    drawn = F.md5(F.concat(F.lit(f"{seed} "), s).cast("binary"))
+    number = lambda a, n: F.conv(F.substring(drawn, a, n), 16, 10).cast("long")
+    strand = F.when(number(9, 1) % 2 == 0, s).otherwise(reverse_complement(s))
+    return F.when(F.length(s) > k, F.substr(strand, (F.pmod(number(1, 8), F.length(s) - k) + 1).cast("int"), F.lit(k)))
 
 
 def read_pairs(reads, max_degree: int, seed: int = 0) -> Column:

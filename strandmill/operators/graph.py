@@ -49,6 +49,16 @@ def histo(rows: DataFrame, key: str) -> DataFrame:
     return histogram(rows.groupBy(key).agg(F.count("*").alias("n")), "n").toDF("times", "keys")
 
 
+def key_counts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): how often each key occurs."""
+    return rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
+
+
+def cc_totals(zones: DataFrame) -> DataFrame:
+    """(components, vertices) of all zones."""
+    return zones.groupBy("zone").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.coalesce(F.sum("n"), F.lit(0)).alias("vertices"))
+
+
 def cc_find(edges: DataFrame) -> DataFrame:
     """(v, zone): the smallest vertex of each vertex's component."""
     return components(edges, "vi", "vj").toDF("v", "zone")
@@ -124,9 +134,9 @@ def relaxed(state: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sources(edges: DataFrame, n: int, seed: int) -> list[int]:
-    """n vertices of edges (vi, vj) drawn by the seed, all of them if there are fewer: those with the smallest seeded hashes."""
+    """n vertices of edges (vi, vj) drawn by the seed, all of them if there are fewer: those with the smallest MD5 of vertex and seed."""
     every = edges.select(F.col("vi").alias("v")).union(edges.select(F.col("vj").alias("v"))).distinct()
-    drawn = [r.v for r in every.orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(n).collect()]
+    drawn = [r.v for r in every.orderBy(F.md5(F.concat_ws(" ", F.col("v").cast("string"), F.lit(str(seed))).cast("binary")), "v").limit(n).collect()]
     if not drawn:
         raise ValueError("no sources: the graph is empty or n is not positive")
     return drawn

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.functions.packed import MOST_BASES, packed_kmers, unpacked
 from strandmill.functions.sequence import generate_kmers
 
 
@@ -15,37 +16,55 @@ def spread(reads: DataFrame) -> DataFrame:
     return reads.repartition(2 * cores) if reads.rdd.getNumPartitions() < 2 * cores else reads
 
 
-def read_kmers(reads: DataFrame, k: int, canonical: bool = True, errors: str = "N") -> DataFrame:
-    """(kmer, id): each k-mer of a read once. Sets are made within rows, so no shuffle is needed for it."""
+def _positive(k: int) -> int:
     if k < 1:
         raise ValueError("k must be positive")
+    return k
+
+
+def read_kmers(reads: DataFrame, k: int, canonical: bool = True, errors: str = "N") -> DataFrame:
+    """(kmer, id): each k-mer of a read once. Sets are made within rows, so no shuffle is needed for it."""
+    _positive(k)
     if not reads.isStreaming:
         reads = spread(reads)
     return reads.select("id", F.explode(generate_kmers("seq", k, errors, canonical)).alias("kmer")).select("kmer", "id")
 
 
 def kmer_counts(reads: DataFrame, k: int, canonical: bool = True) -> DataFrame:
-    """(kmer, cnt): in how many reads each k-mer occurs."""
-    return read_kmers(reads, k, canonical).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    """(kmer, cnt): in how many reads each k-mer occurs. K-mers that fit a long are packed while they are shuffled."""
+    if _positive(k) > MOST_BASES or reads.isStreaming:
+        return read_kmers(reads, k, canonical).groupBy("kmer").agg(F.count("*").alias("cnt"))
+    return unpacked(packed_kmers(spread(reads), k, canonical).groupBy("code", "odd").agg(F.count("*").alias("cnt")), k)
 
 
 def kmer_read_map(reads: DataFrame, k: int, canonical: bool = True, least: int = 2) -> DataFrame:
     """(kmer, reads): the sorted ids of the reads of each k-mer that at least ``least`` reads share."""
-    return read_kmers(reads, k, canonical).groupBy("kmer").agg(F.array_sort(F.collect_set("id")).alias("reads")).where(F.size("reads") >= least)
+    if _positive(k) > MOST_BASES or reads.isStreaming:
+        return read_kmers(reads, k, canonical).groupBy("kmer").agg(F.array_sort(F.collect_set("id")).alias("reads")).where(F.size("reads") >= least)
+    kept = packed_kmers(spread(reads), k, canonical).groupBy("code", "odd").agg(F.collect_set("id").alias("reads")).where(F.size("reads") >= least)
+    return unpacked(kept.withColumn("reads", F.array_sort("reads")), k)
+
+
+def shared_by_reads(reads: DataFrame, k: int, max_degree: int = 100, min_shared: int = 1, seed: int = 0, canonical: bool = True) -> DataFrame:
+    """``read_edges`` of reads, with k-mers packed if they fit a long."""
+    pairs = read_kmers(reads, k, canonical) if _positive(k) > MOST_BASES else packed_kmers(spread(reads), k, canonical)
+    return read_edges(pairs, max_degree, min_shared, seed)
 
 
 def read_edges(pairs: DataFrame, max_degree: int = 100, min_shared: int = 1, seed: int = 0) -> DataFrame:
     """(src, dst, w): pairs of reads, src < dst, with the k-mers that they share.
 
-    pairs: (kmer, id), each once. A k-mer of at most ``max_degree`` reads pairs all of them. A more frequent one deals its
-    reads into groups of about max_degree by a seeded hash and pairs within the groups, about max_degree / 2 pairs a read: the
-    result does not depend on order or partitioning, and no k-mer, however frequent, makes a square of its reads.
+    pairs: (kmer, id) or packed (code, odd, id), each once. A k-mer of at most ``max_degree`` reads pairs all of them. A more
+    frequent one deals its reads into groups of about max_degree by the MD5 of k-mer, read and seed, and pairs within the groups, about max_degree / 2 pairs a read: the result does not depend on order or partitioning, and no k-mer, however
+    frequent, makes a square of its reads.
     """
-    times = pairs.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1")
-    group = F.when(F.col("n") <= max_degree, F.lit(0)).otherwise(F.pmod(F.xxhash64("kmer", "id", F.lit(seed)), F.ceil(F.col("n") / max_degree))).cast("int")
-    dealt = pairs.join(times, "kmer").select("kmer", "id", group.alias("part"))
-    a, b = dealt.select("kmer", "part", F.col("id").alias("src")), dealt.select("kmer", "part", F.col("id").alias("dst"))
-    return a.join(b, ["kmer", "part"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w")).where(F.col("w") >= min_shared)
+    keys = [c for c in pairs.columns if c != "id"]
+    times = pairs.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(" ", *[F.col(c).cast("string") for c in [*keys, "id"]], F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+    group = F.when(F.col("n") <= max_degree, F.lit(0)).otherwise(F.pmod(drawn, F.ceil(F.col("n") / max_degree))).cast("int")
+    dealt = pairs.join(times, keys).select(*keys, "id", group.alias("part"))
+    a, b = dealt.select(*keys, "part", F.col("id").alias("src")), dealt.select(*keys, "part", F.col("id").alias("dst"))
+    return a.join(b, [*keys, "part"]).where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("w")).where(F.col("w") >= min_shared)
 
 
 def edge_part(edges: DataFrame, i: int, n: int) -> DataFrame:
@@ -69,6 +88,11 @@ def merge_maps(*parts: DataFrame) -> DataFrame:
     return every.groupBy("kmer").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("reads")))).alias("reads"))
 
 
+def merge_pairs(pairs: DataFrame) -> DataFrame:
+    """(kmer, reads) of (kmer, id) rows of any number of partial maps."""
+    return pairs.groupBy("kmer").agg(F.array_sort(F.collect_set("id")).alias("reads"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, nbr, w) of each edge in both directions."""
     return edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("nbr"), "w"), F.struct(F.col("dst").alias("node"), F.col("src").alias("nbr"), "w"))).alias("e")).select("e.*")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from strandmill.functions import sequence, text
 from strandmill.operators import graph, overlap, wordfreq
 from strandmill.plans.mr import KV
-from strandmill.session import cut, table
+from strandmill.session import cut, new_path, table
+from strandmill.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,7 +42,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The read-overlap graph without a degree cap: pairs that share SHARED k-mers."""
-    return overlap.read_edges(overlap.read_kmers(reads(spark, sf_dir), K), NO_CAP, SHARED)
+    return overlap.shared_by_reads(reads(spark, sf_dir), K, NO_CAP, SHARED)
 
 
 def part_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ def reverse_complements(spark, sf_dir):
     return own.select("p_partkey", sequence.reverse_complement("s").alias("rc"), sequence.canonical_kmer("s").alias("canonical"))
 
 
-@query()
+@query(_with(_READS, f"SELECT id, CASE WHEN length(seq) > {K} THEN substr(CASE WHEN ('0x' || substr(h, 9, 1))::BIGINT % 2 = 0 THEN seq ELSE reverse(translate(seq, 'ACGT', 'TGCA')) END, CAST(('0x' || substr(h, 1, 8))::BIGINT % (length(seq) - {K}) AS INTEGER) + 1, {K}) END AS kmer FROM (SELECT id, seq, md5('7 ' || seq) AS h FROM reads)"))
 def random_kmers(spark, sf_dir):
     return reads(spark, sf_dir).select("id", sequence.random_kmer("seq", K, 7).alias("kmer"))
 
@@ -115,9 +116,18 @@ def read_edges(spark, sf_dir):
     return document_edges(spark, sf_dir)
 
 
-@query()
+_CODE = f"CAST(list_sum(list_transform(range(1, {K} + 1), lambda i: (strpos('ACGT', substr(kmer, i, 1)) - 1) * CAST(4 AS BIGINT) ** ({K} - i))) AS BIGINT)"
+
+
+@query(
+    _with(
+        _KMERS + "t AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer HAVING count(*) > 1), few AS (SELECT km.kmer, id, 0 AS part FROM km JOIN t ON t.kmer = km.kmer WHERE n <= 100), "
+        f"codes AS (SELECT kmer, n, {_CODE} AS code FROM t WHERE n > 100), many AS (SELECT km.kmer, id, CAST(('0x' || substr(md5(code || '  ' || id || ' 1'), 1, 8))::BIGINT % CAST(ceil(n / 100) AS BIGINT) AS INTEGER) AS part FROM km JOIN codes ON codes.kmer = km.kmer), dealt AS (SELECT * FROM few UNION ALL SELECT * FROM many), ",
+        "SELECT a.id AS src, b.id AS dst, count(*) AS w FROM dealt a JOIN dealt b ON b.kmer = a.kmer AND b.part = a.part AND a.id < b.id GROUP BY 1, 2",
+    )
+)
 def read_edges_capped(spark, sf_dir):
-    return overlap.read_edges(overlap.read_kmers(reads(spark, sf_dir), K), 100, 1, seed=1)
+    return overlap.shared_by_reads(reads(spark, sf_dir), K, 100, 1, seed=1)
 
 
 @query(_with(_EDGES, "SELECT CAST((src + dst) % 4 AS BIGINT) AS part, src, dst, w FROM e"))
@@ -154,7 +164,19 @@ def label_rounds(spark, sf_dir):
     return overlap.label_propagation(document_edges(spark, sf_dir), most_rounds=3).select("node", "label")
 
 
-@query()
+def _rest_sql(rounds: int) -> str:
+    """Label propagation where only nodes that changed are looked at again; at rest within so many rounds on the oracle's tables."""
+    ctes = _EDGES.replace("e AS (", "e AS MATERIALIZED (") + "b AS MATERIALIZED (SELECT src AS node, dst AS nbr FROM e UNION ALL SELECT dst, src FROM e), l0 AS MATERIALIZED (SELECT DISTINCT node, node AS label, true AS changed FROM b), "
+    for i in range(rounds):
+        ctes += (
+            f"s{i} AS (SELECT node, label, sum(s) AS s FROM (SELECT b.node, n.label, 1 AS s FROM b JOIN l{i} n ON n.node = b.nbr JOIN l{i} o ON o.node = b.node AND o.changed UNION ALL SELECT node, label, 1 FROM l{i} WHERE changed) GROUP BY 1, 2), "
+            f"w{i} AS (SELECT node, label FROM (SELECT node, label, row_number() OVER (PARTITION BY node ORDER BY s DESC, label) AS r FROM s{i}) WHERE r = 1), "
+            f"l{i + 1} AS MATERIALIZED (SELECT l.node, coalesce(w.label, l.label) AS label, coalesce(w.label <> l.label, false) AS changed FROM l{i} l LEFT JOIN w{i} w ON w.node = l.node), "
+        )
+    return _with(ctes, f"SELECT node, label FROM l{rounds}")
+
+
+@query(_rest_sql(40))
 def label_propagation(spark, sf_dir):
     return overlap.label_propagation(document_edges(spark, sf_dir), mode="as_written").select("node", "label")
 
@@ -227,15 +249,30 @@ def neighbors_with_triangles(spark, sf_dir):
     return graph.neighbors_with_triangles(cut(graph.edge_upper(part_steps(spark, sf_dir)), "upper"))
 
 
-@query()
+_DRAW = "CAST(((25214903917::HUGEINT * (((v + 12345) % 4294967296)::HUGEINT * 65536 + 13070) + 11) % 281474976710656) AS DOUBLE) / 281474976710656.0::DOUBLE"
+
+
+def _set_sql(rounds: int) -> str:
+    """Vertices that have the smallest draw among those left around them join, and leave with their neighbours."""
+    ctes = _STEPS.replace("up AS (", "up AS MATERIALIZED (") + "b AS MATERIALIZED (SELECT vi AS v, vj AS u FROM up UNION ALL SELECT vj, vi FROM up), " + f"a0 AS MATERIALIZED (SELECT v, {_DRAW} AS r FROM (SELECT DISTINCT v FROM b)), "
+    for i in range(rounds):
+        ctes += (
+            f"w{i} AS MATERIALIZED (SELECT v FROM a{i} WHERE v NOT IN (SELECT x.v FROM a{i} x JOIN b ON b.v = x.v JOIN a{i} y ON y.v = b.u WHERE (y.r, y.v) < (x.r, x.v))), "
+            f"a{i + 1} AS MATERIALIZED (SELECT * FROM a{i} WHERE v NOT IN (SELECT v FROM w{i}) AND v NOT IN (SELECT b.u FROM b JOIN w{i} ON w{i}.v = b.v)), "
+        )
+    return _with(ctes, " UNION ALL ".join(f"SELECT v FROM w{i}" for i in range(rounds)))
+
+
+@query(_set_sql(25))
 def independent_set(spark, sf_dir):
     return graph.luby(graph.edge_upper(part_steps(spark, sf_dir)), 12345)
 
 
-def _relax_sql(rounds: int) -> str:
-    ctes = _STEPS + "d0 AS (SELECT CAST(1 AS BIGINT) AS v, CAST(0 AS DOUBLE) AS dist, CAST(NULL AS BIGINT) AS pred), "
+def _relax_sql(rounds: int, materialized: bool = False, source: str = "SELECT CAST(1 AS BIGINT) AS v") -> str:
+    kept = "AS MATERIALIZED (" if materialized else "AS ("
+    ctes = _STEPS.replace("st AS (", f"st {kept}") + f"d0 {kept}SELECT v, CAST(0 AS DOUBLE) AS dist, CAST(NULL AS BIGINT) AS pred FROM ({source})), "
     for i in range(rounds):
-        ctes += f"d{i + 1} AS (SELECT v, dist, pred FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY dist, pred NULLS FIRST) AS r FROM (SELECT v, dist, pred FROM d{i} UNION ALL SELECT st.vj, d.dist + st.w, st.vi FROM d{i} d JOIN st ON st.vi = d.v)) WHERE r = 1), "
+        ctes += f"d{i + 1} {kept}SELECT v, dist, pred FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY dist, pred NULLS FIRST) AS r FROM (SELECT v, dist, pred FROM d{i} UNION ALL SELECT st.vj, d.dist + st.w, st.vi FROM d{i} d JOIN st ON st.vi = d.v)) WHERE r = 1), "
     return _with(ctes, f"SELECT v, dist, coalesce(pred, -1) AS pred FROM d{rounds}")
 
 
@@ -249,9 +286,9 @@ def shortest_paths_rounds(spark, sf_dir):
     return state.select("v", "dist", F.coalesce("pred", F.lit(-1)).alias("pred"))
 
 
-@query()
+@query(_relax_sql(40, materialized=True))
 def shortest_paths(spark, sf_dir):
-    return graph.sssp(cut(part_steps(spark, sf_dir), "steps"), 1)
+    return graph.sssp(cut(part_steps(spark, sf_dir), "steps"), 1).select("v", "dist", F.coalesce("pred", F.lit(-1)).alias("pred"))
 
 
 def _rank_sql(rounds: int) -> str:
@@ -266,9 +303,17 @@ def pagerank(spark, sf_dir):
     return graph.pagerank(part_steps(spark, sf_dir), rounds=5).select("v", F.round("rank", 10).alias("rank"))
 
 
-@query()
+@query("SELECT CAST(8192 AS BIGINT) AS edges, CAST(8192 AS BIGINT) AS distinct_edges, CAST(0 AS BIGINT) AS outside")
 def rmat(spark, sf_dir):
-    return graph.rmat(spark, 10, 8, 0.25, 0.25, 0.25, 0.25, 0.1, 12345)
+    """What must hold of a generated graph: as many distinct edges as asked for, all between its vertices."""
+    made = graph.rmat(spark, 10, 8, 0.25, 0.25, 0.25, 0.25, 0.1, 12345)
+    inside = F.col("vi").between(0, 1023) & F.col("vj").between(0, 1023)
+    return made.agg(F.count("*").alias("edges"), F.count_distinct("vi", "vj").alias("distinct_edges"), F.count_if(~inside).alias("outside"))
+
+
+@query()
+def rmat_edges(spark, sf_dir):
+    return graph.rmat(spark, 10, 8, 0.4, 0.2, 0.2, 0.2, 0.1, 12345)
 
 
 # words and keys
@@ -352,9 +397,9 @@ def hash_strings(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", sequence.hash_string("p_name").cast("long").alias("total"))
 
 
-@query("SELECT o_orderkey AS n, o_orderkey AS back FROM orders")
+@query(f"SELECT o_orderkey AS n, coalesce(nullif(ltrim(array_to_string(list_transform(range(0, 11), lambda i: substr('{sequence.BASE64}', CAST((o_orderkey >> CAST(60 - 6 * i AS BIGINT)) % 64 AS INTEGER) + 1, 1)), ''), 'A'), ''), 'A') AS code, o_orderkey AS back FROM orders")
 def base64_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), sequence.base64_to_long(sequence.long_to_base64("o_orderkey")).cast("long").alias("back"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), sequence.long_to_base64("o_orderkey").alias("code"), sequence.base64_to_long(sequence.long_to_base64("o_orderkey")).cast("long").alias("back"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split_regex(text, '[ ,.]'), lambda x: x <> '')) AS fields, regexp_replace(text, '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g') AS trimmed FROM documents")
@@ -371,3 +416,106 @@ def vertex_randoms(spark, sf_dir):
 def script_math(spark, sf_dir):
     b, m = F.abs("c_acctbal"), text.MATH
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(m["sqrt"](b), 6).alias("root"), F.round(m["log"](b + 1), 6).alias("lg"), F.round(m["ln"](b + 1), 6).alias("nat"), m["ceil"]("c_acctbal").cast("long").alias("up"), m["floor"]("c_acctbal").cast("long").alias("down"))
+
+
+# text files: tables written by the sinks and read back by the readers
+
+
+@query(_with(_READS, "SELECT id, '' AS header, seq FROM reads WHERE seq IS NOT NULL"))
+def text_reads(spark, sf_dir):
+    to = new_path(spark, "reads")
+    sinks.reads(reads(spark, sf_dir).where("seq is not null"), to, gzip=True)
+    return readers.reads(spark, to)
+
+
+@query(_with(_KMERS, "SELECT km.kmer, id FROM km JOIN (SELECT kmer FROM km GROUP BY kmer HAVING count(*) >= 2) x ON x.kmer = km.kmer"))
+def text_kmer_map(spark, sf_dir):
+    to = new_path(spark, "map")
+    sinks.kmer_map(overlap.kmer_read_map(reads(spark, sf_dir), K), to, gzip=True)
+    return readers.kmer_maps(spark, to)
+
+
+@query(_with(_KMERS, "SELECT kmer, count(*) AS cnt FROM km GROUP BY kmer"))
+def text_counts_merged(spark, sf_dir):
+    """Counts of two halves of the reads, written apart and merged."""
+    parts = [new_path(spark, "counts") for _ in range(2)]
+    for i, to in enumerate(parts):
+        sinks.pairs(overlap.kmer_counts(reads(spark, sf_dir).where(F.pmod("id", F.lit(2)) == i), K), to, "kmer", "cnt")
+    return overlap.merge_counts(*[readers.kmer_counts(spark, to) for to in parts])
+
+
+@query(_with(_EDGES, "SELECT src, dst, CAST(w AS DOUBLE) AS w FROM e"))
+def text_edges(spark, sf_dir):
+    to = new_path(spark, "edges")
+    sinks.edge_lines(document_edges(spark, sf_dir), to, gzip=True)
+    return readers.edge_list(spark, to, weighted=True)
+
+
+@query(_with(_EDGES, "SELECT node AS vi, nbr AS vj, CAST(w AS DOUBLE) AS w FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, nbr) AS rank FROM (SELECT src AS node, dst AS nbr, w FROM e UNION ALL SELECT dst, src, w FROM e)) WHERE rank <= 5"))
+def text_top_neighbors(spark, sf_dir):
+    to = new_path(spark, "top")
+    sinks.top_neighbours(overlap.top_neighbours(document_edges(spark, sf_dir), 5), to)
+    return readers.weighted_edges(spark, to)
+
+
+@query(_with(_EDGES, "SELECT src AS vi, dst AS vj, CAST(printf('%.6f', w / avg(w) OVER ()) AS DOUBLE) AS w FROM e"))
+def text_normalized(spark, sf_dir):
+    to = new_path(spark, "normalized")
+    sinks.normalized(overlap.normalized_weights(document_edges(spark, sf_dir)), to)
+    return readers.weighted_edges(spark, to)
+
+
+@query(_with(_ZONES, "SELECT v, zone FROM zones", recursive=True))
+def text_zones(spark, sf_dir):
+    to = new_path(spark, "zones")
+    sinks.fields(_zones(spark, sf_dir), to)
+    return readers.zones(spark, to)
+
+
+@query(_with(_ZONES, "SELECT count(DISTINCT zone) AS components, count(*) AS vertices FROM zones", recursive=True))
+def component_totals(spark, sf_dir):
+    return graph.cc_totals(_zones(spark, sf_dir))
+
+
+@query(_with(_TRI, "SELECT vi, vj, vk FROM t"))
+def text_triangles(spark, sf_dir):
+    to = new_path(spark, "triangles")
+    sinks.fields(graph.triangles(cut(graph.edge_upper(part_steps(spark, sf_dir)), "upper")), to)
+    return readers.triangle_list(spark, to)
+
+
+@query(_with(_STEPS, "SELECT v, string_agg(CAST(u AS VARCHAR), ' ' ORDER BY u) AS nbrs FROM (SELECT vi AS v, vj AS u FROM up UNION ALL SELECT vj, vi FROM up) GROUP BY v"))
+def text_neighbors(spark, sf_dir):
+    to = new_path(spark, "neighbors")
+    lists = graph.neighbors(graph.edge_upper(part_steps(spark, sf_dir)))
+    sinks.pairs(lists, to, "v", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " "), separator=" ")
+    return readers.neighbour_lists(spark, to).select("v", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+
+
+@query(_with(_WORDS, "SELECT word, count(*) AS cnt FROM wd WHERE word <> '' GROUP BY word"))
+def text_words(spark, sf_dir):
+    to = new_path(spark, "words")
+    table(spark, sf_dir, "documents").where("text is not null").select("text").write.text(to)
+    return wordfreq.word_counts(readers.lines(spark, to))
+
+
+@query(_with(_READS, "SELECT row_number() OVER (ORDER BY id) AS id, 'r' || id AS header, regexp_replace(upper(seq), '[^ACGT]', 'N', 'g') AS seq FROM reads WHERE seq IS NOT NULL"))
+def text_fastq(spark, sf_dir):
+    """Reads as four-line records of one file, and back."""
+    to = new_path(spark, "fastq")
+    own = reads(spark, sf_dir).where("seq is not null")
+    record = F.concat(F.lit("@r"), F.col("id").cast("string"), F.lit(" x\n"), F.lower("seq"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq")))
+    own.orderBy("id").coalesce(1).select(record.alias("value")).write.text(to)
+    return readers.fastq(spark, to)
+
+
+@query("SELECT user_id AS key, count(*) AS n FROM events GROUP BY user_id")
+def histo_keys(spark, sf_dir):
+    return graph.key_counts(table(spark, sf_dir, "events"), "user_id")
+
+
+@query(_relax_sql(60, materialized=True, source="SELECT v FROM (SELECT v, row_number() OVER (ORDER BY md5(v || ' 12345'), v) AS r FROM (SELECT vi AS v FROM st UNION SELECT vj FROM st)) WHERE r = 10"))
+def sssp_of_sources(spark, sf_dir):
+    """The command: ten sources drawn by the seed, the paths of the last."""
+    steps = cut(part_steps(spark, sf_dir), "steps")
+    return graph.sssp(steps, graph.sources(steps, 10, 12345)[-1]).select("v", "dist", F.coalesce("pred", F.lit(-1)).alias("pred"))

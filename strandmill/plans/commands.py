@@ -77,7 +77,7 @@ def _session(name: str) -> SparkSession:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    """kmer-count, kmer-map, edges, cluster, top-neighbours, normalize and any named command."""
+    """kmer-count, kmer-map, edges, cluster, top-neighbours, normalize, merge, fastq and any named command."""
     top = argparse.ArgumentParser(prog="strandmill", description=main.__doc__)
     sub = top.add_subparsers(dest="program", required=True)
 
@@ -107,6 +107,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("-k", type=int, default=100)
     p.add_argument("-w", "--weighted", action="store_true")
     program("normalize")
+    p = program("merge")
+    p.add_argument("--append-merge", action="store_true", help="maps of k-mers to reads, not counts")
+    p = program("fastq")
+    p.add_argument("--paired", action="store_true")
+    p.add_argument("--mates", action="store_true")
+    p.add_argument("--shuffle", type=int)
     p = program("command")
     p.add_argument("--params", nargs="*", default=[])
     p.add_argument("--name", required=True)
@@ -129,6 +135,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.top_neighbours(overlap.top_neighbours(readers.edge_list(spark, paths, a.weighted), a.k), a.output, gzip=a.zip_output)
     elif a.program == "normalize":
         sinks.normalized(overlap.normalized_weights(readers.edge_list(spark, paths, True)), a.output)
+    elif a.program == "merge":
+        if a.append_merge:
+            sinks.kmer_map(overlap.merge_pairs(readers.kmer_maps(spark, paths)), a.output, gzip=a.zip_output)
+        else:
+            sinks.pairs(overlap.merge_counts(readers.kmer_counts(spark, paths)), a.output, "kmer", "cnt", gzip=a.zip_output)
+    elif a.program == "fastq":
+        sinks.reads(readers.fastq(spark, paths, a.paired, a.mates, a.shuffle), a.output, gzip=a.zip_output)
     else:
         Workspace(spark).run(a.name, *a.params, i=paths, o=[(a.output, None)])
     return 0

@@ -141,7 +141,8 @@ class KV:
         return KV(pairs.groupBy("key").applyInPandas(lambda key, rows: f(key[0], rows), schema))
 
     def compress(self, f: Callable | str, schema: str) -> KV:
-        """Reduce within partitions."""
+        """Reduce within the Arrow batches of each partition, before a shuffle: a combiner, after which a key may still occur
+        several times in a partition."""
         f = _found(f)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

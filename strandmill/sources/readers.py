@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def lines(spark: SparkSession, paths: str | list[str], recursive: bool = False, separator: str | None = None) -> DataFrame:
@@ -22,10 +22,41 @@ def files(spark: SparkSession, paths: str | list[str], recursive: bool = False)
     return spark.read.option("recursiveFileLookup", recursive).option("wholetext", True).text(paths).withColumn("path", F.input_file_name())
 
 
-def listed_files(spark: SparkSession, listing: str) -> DataFrame:
-    """The lines of all files that a file names, one to a line; the listing must be short."""
+def listed_files(spark: SparkSession, listing: str, recursive: bool = False) -> DataFrame:
+    """The lines of all files and folders that a file names, one to a line; the listing must be short."""
     names = [r.value.strip() for r in spark.read.text(listing).collect() if r.value.strip()]
-    return spark.read.text(names)
+    return lines(spark, names, recursive) if names else spark.createDataFrame([], "value string")
+
+
+def numbered(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
+    """(path, number, value): the lines of files on any storage Spark reads, with their numbers from 0 on.
+
+    A line's place within its split is counted as the split is read; how many lines the splits before it hold comes from their
+    counts, a row for each split. Files that can be split are.
+    """
+    read = spark.read.option("lineSep", separator) if separator else spark.read
+    rows = read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), "value")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for b in batches:
+            place = []
+            for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = n + 1 if x == last else 0
+                last = x
+                place.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64())], ["path", "at", "value", "place"])
+
+    own = rows.mapInArrow(count, "path string, at long, value string, place long")
+    splits = own.groupBy("path", "at").agg((F.max("place") + 1).alias("n"))
+    before = splits.select("path", "at", (F.sum("n").over(Window.partitionBy("path").orderBy("at")) - F.col("n")).alias("before"))
+    return own.join(before, ["path", "at"]).select("path", (F.col("before") + F.col("place")).alias("number"), "value")
+
+
+def pieces(spark: SparkSession, paths: str | list[str], separator: str) -> DataFrame:
+    """(value): the pieces of files, each starting with the separator; what lies before the first one is a piece without it."""
+    own = numbered(spark, paths, separator)
+    return own.where("number > 0 or value <> ''").select(F.when(F.col("number") > 0, F.concat(F.lit(separator), "value")).otherwise(F.col("value")).alias("value"))
 
 
 def reads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -34,6 +65,12 @@ def reads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines(spark, paths).select(part.alias("p")).where(F.size("p") == 3).select(F.col("p")[0].cast("long").alias("id"), F.col("p")[1].alias("header"), F.col("p")[2].alias("seq"))
 
 
+def kmer_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(kmer, cnt) of lines ``kmer <tab> count``."""
+    part = F.split("value", "\t", -1)
+    return lines(spark, paths).select(part.alias("p")).where(F.size("p") == 2).select(F.col("p")[0].alias("kmer"), F.col("p")[1].cast("long").alias("cnt"))
+
+
 def kmer_maps(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(kmer, id) of lines ``kmer <tab> id id ...``."""
     part = F.split("value", "\t", -1)
@@ -86,68 +123,32 @@ def neighbour_lists(spark: SparkSession, paths) -> DataFrame:
     return lines(spark, paths).where("trim(value) <> ''").select(part.alias("p")).select(F.col("p")[0].cast("long").alias("v"), F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x: x.cast("long")).alias("nbrs"))
 
 
-class FastqReader(DataSourceReader):
-    """One partition for each file: records have no marks by which a file could be split safely."""
-
-    def __init__(self, options: dict) -> None:
-        from glob import glob
-        from os.path import isdir, join
-
-        path = options.get("path", "")
-        self.paths = sorted(p for x in path.split(",") for p in (glob(join(x, "*")) if isdir(x) else glob(x)))
-        self.paired = str(options.get("paired", "false")).lower() == "true"
-        self.mates = str(options.get("mates", "false")).lower() == "true"
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(len(self.paths))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import gzip
-        import re
-        from itertools import islice
-
-        path = self.paths[partition.value]
-        clean = lambda s: re.sub("[^ACGT]", "N", s.upper())
-        with gzip.open(path, "rt") if path.endswith(".gz") else open(path) as f:
-            number = 0
-            while len(record := [x.rstrip("\n") for x in islice(f, 8 if self.paired else 4)]) >= (8 if self.paired else 4):
-                number += 1
-                header = record[0][1:]
-                if self.paired:
-                    name = header.split()[0] if header.split() else ""
-                    if self.mates:
-                        (a, i), (b, j) = header.split("/"), record[4][1:].split("/")
-                        if a != b or (int(i), int(j)) != (1, 2):
-                            raise ValueError(f"not paired: {header} and {record[4][1:]}")
-                        name = a
-                    yield path, number, name, clean(record[1]) + "NNNN" + clean(record[5])
-                else:
-                    yield path, number, header.split()[0] if header.split() else "", clean(record[1])
-
-
-class Fastq(DataSource):
-    """``spark.read.format("fastq")`` with options paired and mates (check the /1 and /2 of mates)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fastq"
-
-    def schema(self) -> str:
-        return "path string, number long, header string, seq string"
-
-    def reader(self, schema) -> FastqReader:
-        return FastqReader(self.options)
-
-
-def fastq(spark: SparkSession, path: str, paired: bool = False, mates: bool = False) -> DataFrame:
-    """(id, header, seq) of FASTQ files: upper case, other letters N, mates joined by NNNN. Ids are 1, 2, ... by file and
-    record; they come from the counts of the files before, not from a sort."""
-    spark.dataSource.register(Fastq)
-    rows = spark.read.format("fastq").option("paired", str(paired)).option("mates", str(mates)).load(path)
-    counts = sorted((r.path, r.n) for r in rows.groupBy("path").agg(F.max("number").alias("n")).collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    before = spark.createDataFrame(starts, "path string, before long")
-    return rows.join(F.broadcast(before), "path").select((F.col("before") + F.col("number")).alias("id"), "header", "seq")
+def fastq(spark: SparkSession, path: str | list[str], paired: bool = False, mates: bool = False, shuffle: int | None = None, batch: int = 100_000) -> DataFrame:
+    """(id, header, seq) of FASTQ files: upper case, other letters N; paired: two records a read, joined by NNNN.
+
+    Ids are 1, 2, ... by file and record. mates: the names must end in /1 and /2 and agree. shuffle: a seed by which ids are
+    dealt anew within batches of ``batch`` reads. A record that its file does not hold whole is left out.
+    """
+    n = 8 if paired else 4
+    own = numbered(spark, path).withColumn("record", F.floor(F.col("number") / n)).withColumn("line", F.col("number") % n)
+    field = lambda i: F.max(F.when(F.col("line") == i, F.col("value")))
+    clean = lambda c: F.regexp_replace(F.upper(F.rtrim(c)), "[^ACGT]", "N")
+    rows = own.groupBy("path", "record").agg(F.count("*").alias("n"), field(0).alias("h1"), field(1).alias("s1"), field(4).alias("h2"), field(5).alias("s2")).where(F.col("n") == n)
+    first = F.coalesce(F.get(F.split(F.trim(F.substr("h1", F.lit(2))), r"\s+"), F.lit(0)), F.lit(""))
+    seq = clean(F.col("s1"))
+    if paired:
+        seq = F.concat(seq, F.lit("NNNN"), clean(F.col("s2")))
+        if mates:
+            one, two = (F.substr(h, F.lit(2)) for h in ("h1", "h2"))
+            named = F.regexp_extract(one, "^(.*)/0*1$", 1)
+            agree = one.rlike("^[^/]*/0*1$") & two.rlike("^[^/]*/0*2$") & (named == F.regexp_extract(two, "^(.*)/0*2$", 1))
+            first = F.when(agree, named).otherwise(F.raise_error(F.concat(F.lit("not paired: "), one, F.lit(" and "), two)).cast("string"))
+    made = rows.select("path", "record", first.alias("header"), seq.alias("seq"))
+    counts = made.groupBy("path").agg(F.max("record").alias("last"))
+    before = counts.select("path", (F.sum(F.col("last") + 1).over(Window.orderBy("path")) - F.col("last") - 1).alias("before"))
+    out = made.join(before, "path").select((F.col("before") + F.col("record") + 1).alias("id"), "header", "seq")
+    if shuffle is None:
+        return out
+    of = F.floor((F.col("id") - 1) / batch)
+    dealt = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("id", F.lit(shuffle)), "id"))
+    return out.withColumn("of", of).select((F.col("of") * batch + dealt).cast("long").alias("id"), "header", "seq")

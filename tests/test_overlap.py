@@ -119,3 +119,28 @@ def test_sample_clusters(spark, tmp_path, sample):
     assert {(e.src, e.dst): e.w for e in edges.collect()} == want
     got = {x.node: x.label for x in overlap.label_propagation(edges, mode="as_written").collect()}
     assert got == propagate(list(want), 300, "as_written")
+
+
+@pytest.mark.parametrize(("k", "canonical"), [(1, True), (2, True), (4, False), (7, True), (16, True), (31, True), (31, False)])
+def test_packed_kmers(spark, k, canonical):
+    """Packed or not, k-mers are the same: with other letters, errors, characters of several bytes, nulls and long reads."""
+    rng = random.Random(k)
+    long = "".join(rng.choice("ACGT") for _ in range(3000))
+    seqs = ["ACGTACGTNNACGTTGCA" * 3, long, long[100:700] + "N" + rc(long[:500]), "ACRYGTACGTacgtACGT" * 4, "é" * 5 + long[:80] + "🎉" + long[80:160], "N", "", None, "A" * 100]
+    df = spark.createDataFrame([(i, "", s) for i, s in enumerate(seqs)], "id long, header string, seq string")
+    plain = overlap.read_kmers(df, k, canonical).groupBy("kmer").count()
+    assert {(r.kmer, r.cnt) for r in overlap.kmer_counts(df, k, canonical).collect()} == {tuple(r) for r in plain.collect()}
+    maps = {r.kmer: r.reads for r in overlap.kmer_read_map(df, k, canonical).collect()}
+    by = defaultdict(list)
+    for r in overlap.read_kmers(df, k, canonical).collect():
+        by[r.kmer].append(r.id)
+    assert maps == {x: sorted(v) for x, v in by.items() if len(v) > 1}
+    one, two = overlap.shared_by_reads(df, k, canonical=canonical), overlap.read_edges(overlap.read_kmers(df, k, canonical))
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in two.collect()}
+
+
+def test_longer_kmers_stay_text(spark, small):
+    rows, df = small
+    assert overlap.kmer_counts(df, 40).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        overlap.kmer_counts(df, 0)

@@ -86,6 +86,59 @@ def test_fastq(spark, tmp_path):
     assert [r.seq for r in readers.fastq(spark, str(tmp_path / "a.fq"), paired=True).collect()] == ["ACGTNNNNNGGNC"]
 
 
+def test_fastq_of_several_files(spark, tmp_path):
+    """Ids go by file and record, whatever the splits; a last record that is cut off is left out; ids may be dealt anew."""
+    records = {f: [(f"r{f}{i}", "ACGT"[i % 4] * (i % 7 + 1)) for i in range(n)] for f, n in (("a", 300), ("b", 1), ("c", 41))}
+    for f, rows in records.items():
+        text = "".join(f"@{h} more\n{q}\n+\n{'I' * len(q)}\n" for h, q in rows) + ("@cut\nAC\n" if f == "a" else "")
+        if f == "c":
+            with gzip.open(tmp_path / "c.fq.gz", "wt") as g:
+                g.write(text)
+        else:
+            (tmp_path / f"{f}.fq").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [tuple(r) for r in readers.fastq(spark, str(tmp_path)).orderBy("id").collect()]
+        dealt = [tuple(r) for r in readers.fastq(spark, str(tmp_path), shuffle=5, batch=100).orderBy("id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(h, q) for f in "abc" for h, q in records[f]]
+    assert got == [(i, h, q) for i, (h, q) in enumerate(want, 1)]
+    assert [x[0] for x in dealt] == [x[0] for x in got] and dealt != got
+    assert all({x[1] for x in dealt[i : i + 100]} == {x[1] for x in got[i : i + 100]} for i in range(0, 342, 100))
+
+
+def test_fastq_mates(spark, tmp_path):
+    (tmp_path / "ok.fq").write_text("@r1/1\nAC\n+\nII\n@r1/2\nGT\n+\nII\n")
+    (tmp_path / "bad.fq").write_text("@r1/1\nAC\n+\nII\n@r2/2\nGT\n+\nII\n")
+    assert [tuple(r) for r in readers.fastq(spark, str(tmp_path / "ok.fq"), paired=True, mates=True).collect()] == [(1, "r1", "ACNNNNGT")]
+    with pytest.raises(Exception, match="not paired"):
+        readers.fastq(spark, str(tmp_path / "bad.fq"), paired=True, mates=True).collect()
+
+
+def test_pieces_and_listings(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/x.txt").write_text("head>one\nmore>two>")
+    (tmp_path / "y.txt").write_text(">three\n>four")
+    got = {r.value for r in readers.pieces(spark, [str(tmp_path / "d"), str(tmp_path / "y.txt")], ">").collect()}
+    assert got == {"head", ">one\nmore", ">two", ">three\n", ">four"} or got == {"head", ">one\nmore", ">two", ">", ">three\n", ">four"}
+    (tmp_path / "list").write_text(f"{tmp_path}/d\n\n{tmp_path}/y.txt\n")
+    assert sorted(r.value for r in readers.listed_files(spark, str(tmp_path / "list")).collect()) == sorted(["head>one", "more>two>", ">three", ">four"])
+    (tmp_path / "none").write_text("\n")
+    assert readers.listed_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_merge_programs(spark, tmp_path):
+    p = lambda x: str(tmp_path / x)
+    for name, text in (("c1", "AC\t2\nGT\t1\n"), ("c2", "AC\t5\n"), ("m1", "AC\t1 2\nGT\t4\n"), ("m2", "AC\t2 9\n")):
+        (tmp_path / name).write_text(text)
+    main(["merge", "-o", p("counts"), p("c1"), p("c2")], spark)
+    main(["merge", "--append-merge", "-o", p("maps"), p("m1"), p("m2")], spark)
+    assert {tuple(r) for r in readers.kmer_counts(spark, p("counts")).collect()} == {("AC", 7), ("GT", 1)}
+    assert {tuple(r) for r in readers.kmer_maps(spark, p("maps")).collect()} == {("AC", 1), ("AC", 2), ("AC", 9), ("GT", 4)}
+
+
 def test_stream(spark, tmp_path):
     from strandmill.streaming.counts import kmer_counts
 
