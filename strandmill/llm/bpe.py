@@ -6,8 +6,8 @@ single space or newline between two other characters, where the pre-tokenizer al
 
 1. Spark counts the documents of each body over the whole corpus. The ``MOST_SHARED`` bodies that most documents share are
    encoded once for all, and their table, of bounded size, goes to every worker.
-2. Bodies beyond these are encoded once a worker, their words once each, into tables that start anew when full. A table is
-   asked by hash and answers only where the bytes are the same; reuse never changes a result.
+2. Bodies beyond these are encoded once a worker, their words once each, into tables that let the seldom used half go when
+   they are full. A table is asked by hash and answers only where the bytes are the same; reuse never changes a result.
 3. About each join of bodies a range is encoded anew: from one word before the first body's end to one word after the next
    one's start. It must part exactly at both ends of the gap, and its ids outside the gap must be those of the two bodies.
    Where they disagree the whole text is encoded anew.
@@ -32,9 +32,9 @@ from strandmill.llm import pieces
 from strandmill.llm.words import KEPT, U, buffer, eights, hashes, mix, sliced, small_batches
 from strandmill.session import ship
 
-CHUNK_BYTES = 128
+CHUNK_BYTES = 256
 #: Bodies that are encoded once for the whole corpus, and the bytes of each at most: 40 MB with their ids at worst, 5 as a rule.
-MOST_SHARED, SHARED_BYTES = 1 << 14, 512
+MOST_SHARED, SHARED_BYTES = 1 << 13, 1024
 SPECIAL = "<|endoftext|>"
 _WINDOW = 8
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240611)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -62,10 +62,14 @@ def safe_cuts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
     if n > 2:
         white = (raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D))
         mark = (raw == 0x20) | (raw == 0x0A)
-        # bytes of non-ASCII characters may be white space, and the four separators are too
-        wide = (raw >= 0x80) | ((raw >= 0x1C) & (raw <= 0x1F))
         safe[1 : n - 1] = mark[1:-1] & ~white[:-2] & ~white[2:]
-        odd = np.flatnonzero(safe[1 : n - 1] & (wide[:-2] | wide[2:])) + 1
+        # characters of two or three bytes may be white space by their first byte, and the four separators are too
+        odd = (raw >= 0x1C) & (raw <= 0x1F)
+        after = odd | (raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3))
+        before = odd.copy()
+        before[1:] |= (raw[:-1] == 0xC2) & (raw[1:] >= 0x80)
+        before[2:] |= (raw[:-2] >= 0xE1) & (raw[:-2] <= 0xE3) & (raw[2:] >= 0x80)
+        odd = np.flatnonzero(safe[1 : n - 1] & (before[:-2] | after[2:])) + 1
         if len(odd):
             text = raw.tobytes()
             near = [(_char_before(text, i), _char_at(text, i + 1)) for i in odd.tolist()]
@@ -101,7 +105,7 @@ def bodies(raw: np.ndarray, texts: np.ndarray, chunk_bytes: int) -> tuple[np.nda
 class Coder:
     def __init__(self, path: str, chunk_bytes: int) -> None:
         self.words = pieces.encoder(path, SPECIAL)
-        self.shared, self.bodies, self.joins = pieces.Table(), pieces.Table(), pieces.Table(pieces.MOST_BYTES // 4)
+        self.shared, self.bodies, self.joins = pieces.Table(), pieces.Table(pieces.MOST_BYTES // 4), pieces.Table(pieces.MOST_BYTES // 8)
         self.known = None
         self.chunk_bytes = chunk_bytes
         tokenizer = self.words.tokenizer
@@ -114,6 +118,7 @@ class Coder:
         self.token_bytes = np.frombuffer(b"".join(table), np.uint8)
         self.token_size = np.array([len(x) for x in table], np.int64)
         self.token_at = np.cumsum(self.token_size) - self.token_size
+        self.words.token_size = self.token_size
 
     def learn(self, known: tuple[str, list[str], list[np.ndarray]]) -> Coder:
         """Take over bodies that are encoded already: a name for the set, texts and ids."""
@@ -169,7 +174,7 @@ class Coder:
         a = safe[np.searchsorted(safe, p) - has_left]
         b = safe[np.searchsorted(safe, q) + has_right]
         text = lambda x, y: [data[i:j].decode() for i, j in zip(x.tolist(), y.tolist(), strict=True)]
-        wide, wide_size = pieces.looked_up(self.joins, eight, a, b, lambda x, y: self.words.together(text(x, y)), lambda x, y: self.words.each(text(x, y)))
+        wide, wide_size = self.words.ids(data, eight, a, b, self.joins)
         # how many ids of each range lie before its gap, and up to the gap's end; exactly, or the range disagrees
         reach = np.concatenate([[0], np.cumsum(self.token_size[wide])])
         at = np.concatenate([[0], np.cumsum(wide_size)])
@@ -295,7 +300,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTE
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(tokenizer, chunk_bytes).learn(known.value)
-        for b in sliced(batches, "text", keep=True):
+        for b in sliced(batches, "text", 256 << 10, keep=True):
             ids, count = own.encode(b.column("text"))
             at = np.concatenate([[0], np.cumsum(count)])
             flat, ends = ids.astype("<u4").tobytes(), (4 * at).tolist()

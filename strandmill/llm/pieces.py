@@ -13,8 +13,8 @@ import numpy as np
 
 from strandmill.llm.words import KEPT, clashes, firsts, hashes, same
 
-#: Characters of one call to the library, and bytes of a table in a Python worker before it starts anew.
-CALL_CHARS, MOST_BYTES = 60_000, 40 << 20
+#: Characters of one call to the library, and bytes of a table in a Python worker before it lets its seldom used half go.
+CALL_CHARS, MOST_BYTES = 60_000, 32 << 20
 
 
 def _grown(pool: np.ndarray, need: int) -> np.ndarray:
@@ -26,7 +26,7 @@ def _grown(pool: np.ndarray, need: int) -> np.ndarray:
 
 
 class Table:
-    """Sorted hashes with pools of contents and ids; grows by merging."""
+    """Sorted hashes with pools of contents and ids; grows by merging, and lets what was used least go when it is full."""
 
     def __init__(self, most: int = MOST_BYTES) -> None:
         self.most = most
@@ -38,12 +38,26 @@ class Table:
         self.size = np.zeros(0, np.int32)
         self.place = np.zeros(0, np.int32)  # of the bytes
         self.length = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int32)
         self.pool = np.zeros(1 << 14, np.uint32)
         self.data = np.zeros(1 << 16, np.uint8)
         self.used = self.filled = 0
 
     def full(self) -> bool:
-        return 24 * len(self.keys) + 4 * self.used + self.filled > self.most
+        return 28 * len(self.keys) + 4 * self.used + self.filled > self.most
+
+    def prune(self) -> None:
+        """Keep the half that was used most; uses count half from now on."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: len(self.keys) // 2])
+        ids, size = self.gather(keep)
+        length = self.length[keep].astype(np.int64)
+        data, _ = take(self.data, self.place[keep].astype(np.int64), length)
+        keys, uses = self.keys[keep], self.uses[keep] // 2
+        self.clear()
+        self.pool, self.data = _grown(self.pool, len(ids)), _grown(self.data, len(data) + 8)
+        self.pool[: len(ids)], self.data[: len(data)] = ids, data
+        self.used, self.filled, self.keys, self.uses = len(ids), len(data), keys, uses
+        self.at, self.size, self.place, self.length = (x.astype(np.int32) for x in (np.cumsum(size) - size, size, np.cumsum(length) - length, length))
 
     def _eight(self) -> np.ndarray:
         return np.ndarray((len(self.data) - 7,), "<u8", buffer=self.data.data, strides=(1,))
@@ -74,6 +88,7 @@ class Table:
         self.filled += total
         i = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size, self.place, self.length = (np.insert(a, i, b) for a, b in zip((self.keys, self.at, self.size, self.place, self.length), new, strict=True))
+        self.uses = np.insert(self.uses, i, 0)
 
     def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of entries, one after another, and how many each has."""
@@ -106,13 +121,14 @@ def looked_up(table: Table, eight: np.ndarray, start: np.ndarray, end: np.ndarra
     unique, first, back = firsts(hashes(eight, start, end))
     odd = clashes(eight, start, end, first, back)
     if table.full():
-        table.clear()
+        table.prune()
     _, there, other = table.find(unique, eight, start[first], end[first])
     new = first[~there & ~other]
     if len(new):
         table.add(unique[~there & ~other], eight, start[new], end[new], *make(start[new], end[new]))
     odd = np.union1d(odd, np.flatnonzero(other[back]))
     index = np.searchsorted(table.keys, unique)
+    table.uses[index] += np.bincount(back, minlength=len(index)).astype(np.int32)
     ids, size = table.gather(index[back])
     return put(ids, size, odd, alone(start[odd], end[odd])) if len(odd) else (ids, size)
 
@@ -127,40 +143,80 @@ class Encoder:
         self.tokenizer.no_padding()
         self.between, self.cut = between, self.tokenizer.token_to_id(between)
         self.table = Table()
+        #: The bytes of each id, where ids stand for the bytes of a text one after another.
+        self.token_size: np.ndarray | None = None
 
     def each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def together(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, one after another, and how many each has; many are encoded in one call."""
-        out: list = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if "<|" in t or len(t) > CALL_CHARS]
         skip, calls, own, chars = set(odd), [], [], 0
         for i, t in enumerate(texts):
             if i in skip:
                 continue
-            own.append(i)
+            own.append(t)
             chars += len(t)
             if chars >= CALL_CHARS:
                 calls.append(own)
                 own, chars = [], 0
         if own:
             calls.append(own)
-        for own in calls:
-            (ids,) = self.each([self.between.join([texts[i] for i in own])])
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for own, ids in zip(calls, self.each([self.between.join(x) for x in calls]), strict=True):
             ends = np.flatnonzero(ids == self.cut)
             if len(ends) != len(own) - 1:
                 raise ValueError("the separator was not kept apart")
-            for i, part in zip(own, np.split(ids, ends), strict=True):
-                out[i] = part if i == own[0] else part[1:]
-        for i, ids in zip(odd, self.each([texts[i] for i in odd]) if odd else [], strict=True):
-            out[i] = ids
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.array([len(x) for x in out], np.int64)
-
-    def ids(self, data: bytes, eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces, one after another, and how many each has. eight: those of data."""
+            flat.append(ids[ids != self.cut])
+            sizes.append(np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1)
+        ids, size = np.concatenate(flat), np.concatenate(sizes)
+        if odd:
+            at = np.array(odd)
+            size = np.insert(size, at - np.arange(len(at)), 0)
+            ids, size = put(ids, size, at, self.each([texts[i] for i in odd]))
+        return ids, size
+
+    def adjoined(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``together`` for ranges of data, for byte-level tokenizers: ranges that begin with one blank or newline and neither
+        go on nor end with white space are put one behind the other, where the pre-tokenizer parts them as in their text, and
+        their ids are told apart by the bytes that they stand for."""
+        raw = np.frombuffer(data, np.uint8)
+        mark, size = (raw[start] == 0x20) | (raw[start] == 0x0A), end - start
+        second, last = raw[np.minimum(start + 1, end - 1)], raw[end - 1]
+        wide = (second == 0xC2) | ((second >= 0xE1) & (second <= 0xE3))
+        ends_wide = (last >= 0x80) & ((raw[np.maximum(end - 2, 0)] == 0xC2) | ((raw[np.maximum(end - 3, 0)] >= 0xE1) & (raw[np.maximum(end - 3, 0)] <= 0xE3)))
+        plain = mark & (size > 1) & (size < CALL_CHARS) & (second > 0x20) & ~wide & (last > 0x20) & ~ends_wide
+        at = np.flatnonzero(plain)
+        flat, _ = take(raw, start[at], size[at])
+        stop = np.cumsum(size[at])
+        cuts = np.unique(np.searchsorted(stop, np.arange(0, len(flat) + CALL_CHARS, CALL_CHARS), "left"))
+        bounds = np.unique(np.concatenate([[0], stop[np.minimum(cuts, len(stop) - 1)]])).tolist() if len(at) else [0]
+        text = flat.tobytes()
+        ids = np.concatenate([*self.each([text[p:q].decode() for p, q in zip(bounds, bounds[1:], strict=False)]), np.zeros(0, np.uint32)])
+        reach = np.concatenate([[0], np.cumsum(self.token_size[ids])])
+        place = np.searchsorted(reach, stop)
+        n = np.zeros(len(start), np.int64)
+        if (place < len(reach)).all() and (reach[np.minimum(place, len(reach) - 1)] == stop).all():
+            n[at] = np.diff(np.concatenate([[0], place]))
+            odd = np.flatnonzero(~plain)
+        else:  # ids do not part where the ranges do
+            ids, odd = np.zeros(0, np.uint32), np.arange(len(start))
+        if not len(odd):
+            return ids, n
+        own, count = self.together([data[p:q].decode() for p, q in zip(start[odd].tolist(), end[odd].tolist(), strict=True)])
+        n[odd] = count
+        from_ = np.zeros(len(start), np.int64)
+        from_[odd] = len(ids) + np.cumsum(count) - count
+        rest = np.setdiff1d(np.arange(len(start)), odd)
+        from_[rest] = np.cumsum(n[rest]) - n[rest]
+        return take(np.concatenate([ids, own]), from_, n)
+
+    def ids(self, data: bytes, eight: np.ndarray, start: np.ndarray, end: np.ndarray, table: Table | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has. eight: those of data; table: another than the own one."""
         text = lambda a, b: [data[p:q].decode() for p, q in zip(a.tolist(), b.tolist(), strict=True)]
-        return looked_up(self.table, eight, start, end, lambda a, b: self.together(text(a, b)), lambda a, b: self.each(text(a, b)))
+        make = (lambda a, b: self.together(text(a, b))) if self.token_size is None else lambda a, b: self.adjoined(data, a, b)
+        return looked_up(table or self.table, eight, start, end, make, lambda a, b: self.each(text(a, b)))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
