@@ -164,7 +164,8 @@ class Encoder:
         if own:
             calls.append(own)
         flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for own, ids in zip(calls, self.each([self.between.join(x) for x in calls]), strict=True):
+        for own in calls:  # one at a time: what the library makes of a text is many times its size
+            (ids,) = self.each([self.between.join(own)])
             ends = np.flatnonzero(ids == self.cut)
             if len(ends) != len(own) - 1:
                 raise ValueError("the separator was not kept apart")
@@ -193,7 +194,7 @@ class Encoder:
         cuts = np.unique(np.searchsorted(stop, np.arange(0, len(flat) + CALL_CHARS, CALL_CHARS), "left"))
         bounds = np.unique(np.concatenate([[0], stop[np.minimum(cuts, len(stop) - 1)]])).tolist() if len(at) else [0]
         text = flat.tobytes()
-        ids = np.concatenate([*self.each([text[p:q].decode() for p, q in zip(bounds, bounds[1:], strict=False)]), np.zeros(0, np.uint32)])
+        ids = np.concatenate([*(self.each([text[p:q].decode()])[0] for p, q in zip(bounds, bounds[1:], strict=False)), np.zeros(0, np.uint32)])
         reach = np.concatenate([[0], np.cumsum(self.token_size[ids])])
         place = np.searchsorted(reach, stop)
         n = np.zeros(len(start), np.int64)
