@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import operator
 import os
 import random as _random
 import socket
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _SPACE = r"[ \t\n\x0B\f\r]"
@@ -85,9 +86,19 @@ MATH = {
     "normal": lambda mu, sigma, seed: F.randn(seed) * sigma + mu,
     "ceil": F.ceil, "floor": F.floor, "round": F.round,
 }
+#: The script language's operators, of columns; ``neg`` and ``!`` take one.
+OPERATORS = {
+    "+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "^": F.pow, "neg": operator.neg,
+    "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
+    "&&": operator.and_, "||": operator.or_, "!": operator.invert,
+}
 PI = math.pi
 
 
+def nprocs(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def vertex_random(vertex, seed: int) -> Column:
     """The first draw of the 48-bit POSIX generator seeded by vertex + seed: independent of how rows are dealt."""
     low = F.pmod((_col(vertex) + seed).cast("decimal(38,0)"), F.lit(2**32).cast("decimal(38,0)"))

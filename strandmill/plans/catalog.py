@@ -7,11 +7,12 @@ Graphs are the read-overlap graph of those reads, and the graph of parts that fo
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.functions import sequence, text
+from strandmill.functions import edges, sequence, text
 from strandmill.operators import graph, overlap, wordfreq
 from strandmill.plans.mr import KV
 from strandmill.session import cut, new_path, table
@@ -378,6 +379,86 @@ def kv_reduce(spark, sf_dir):
     return _events(spark, sf_dir).reduce(spread, "key string, value long").rows
 
 
+_SUMS = "SELECT event_type AS key, CAST(sum(user_id) AS BIGINT) AS value FROM events GROUP BY event_type"
+
+
+def _summed(key, rows):
+    import pandas as pd
+
+    return pd.DataFrame({"key": [key], "value": [int(rows["value"].sum())]})
+
+
+@query(_SUMS)
+def kv_compress(spark, sf_dir):
+    """Partial sums before the shuffle, then whole ones."""
+    return _events(spark, sf_dir).compress(_summed, "key string, value long").reduce(_summed, "key string, value long").rows
+
+
+@query(_SUMS)
+def kv_convert(spark, sf_dir):
+    """Groups within partitions, once equal keys are in one."""
+    grouped = _events(spark, sf_dir).aggregate(n=8).convert()
+    return grouped.rows.select("key", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("value"))
+
+
+@query(_SUMS)
+def kv_blocks(spark, sf_dir):
+    """Blocks of at most 100 values, summed apart and then together."""
+    blocks = _events(spark, sf_dir).blocks(100)
+    return KV(blocks.select("key", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("value"))).summed().rows
+
+
+@query("SELECT event_type AS key, CAST(1 AS BIGINT) AS value FROM events")
+def kv_clone(spark, sf_dir):
+    return _events(spark, sf_dir).clone().count().rows
+
+
+@query("SELECT 'all' AS key, count(*) AS value FROM events")
+def kv_scrunch(spark, sf_dir):
+    return _events(spark, sf_dir).scrunch(1, F.lit("all")).count().rows
+
+
+@query("SELECT CAST(range AS VARCHAR) AS key, range * range AS value FROM range(100)")
+def kv_tasks(spark, sf_dir):
+    import pandas as pd
+
+    return KV.tasks(spark, 100, lambda i: pd.DataFrame({"key": [str(i)], "value": [i * i]}), "key string, value long").rows
+
+
+@query("SELECT event_type AS key, user_id + 1 AS value FROM events UNION ALL SELECT CAST(user_id AS VARCHAR), strlen(event_type) FROM events WHERE user_id % 2 = 0")
+def kv_two_outputs(spark, sf_dir):
+    """A map callback with a second output."""
+    import pandas as pd
+
+    def both(rows):
+        even = rows[rows["value"] % 2 == 0]
+        return pd.DataFrame({"key": rows["key"], "value": rows["value"] + 1}), pd.DataFrame({"key": even["value"].astype(str), "value": even["key"].str.len()})
+
+    first, second = _events(spark, sf_dir).map_two(both, "key string, value long", "key string, value long")
+    return first.add(second).rows
+
+
+@query("SELECT event_type AS key, string_agg(CAST(user_id AS VARCHAR), ' ' ORDER BY user_id DESC) AS value FROM events GROUP BY event_type")
+def kv_group_descending(spark, sf_dir):
+    made = _events(spark, sf_dir).collate().sort_multivalues(compare=lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
+    return made.rows.select("key", F.array_join(F.transform("values", lambda x: x.cast("string")), " ").alias("value"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_custkey AS value FROM orders ORDER BY o_orderkey DESC LIMIT 50")
+def sort_texts_as_numbers(spark, sf_dir):
+    """Keys that are texts, in the order of the numbers they spell."""
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_custkey").alias("value"))
+    return KV(own).sort_keys(ascending=False, whole=True, order="uint64").rows.limit(50)
+
+
+@query("SELECT event_type AS key, user_id AS value, r FROM (SELECT event_type, user_id, count(*) AS r FROM events GROUP BY 1, 2)")
+def kv_looked_up(spark, sf_dir):
+    """Each pair with its count, by a replicated table of distinct pairs."""
+    own = _events(spark, sf_dir)
+    counts = KV(own.rows.groupBy("key", "value").agg(F.count("*").alias("r")).select(F.struct("key", "value").alias("key"), F.col("r").alias("value"))).broadcast()
+    return own.rows.distinct().join(counts.rows.select("key.key", F.col("key.value").alias("value"), F.col("value").alias("r")), ["key", "value"])
+
+
 @query("SELECT l_orderkey AS key, max(l_quantity) AS value FROM lineitem GROUP BY l_orderkey ORDER BY key DESC LIMIT 50")
 def sort_keys_top(spark, sf_dir):
     own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.max("l_quantity").alias("value"))
@@ -418,6 +499,71 @@ def script_math(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(m["sqrt"](b), 6).alias("root"), F.round(m["log"](b + 1), 6).alias("lg"), F.round(m["ln"](b + 1), 6).alias("nat"), m["ceil"]("c_acctbal").cast("long").alias("up"), m["floor"]("c_acctbal").cast("long").alias("down"))
 
 
+@query("SELECT c_custkey, round(exp(x), 9) AS e, round(sin(x), 9) AS s, round(cos(x), 9) AS c, round(tan(x), 9) AS t, round(asin(x), 9) AS a_s, round(acos(x), 9) AS a_c, round(atan(x), 9) AS a_t, round(atan2(x, 2.0), 9) AS a_2, round(c_acctbal)::BIGINT AS near FROM (SELECT c_custkey, c_acctbal, c_acctbal / 20000 AS x FROM customer)")
+def script_trigonometry(spark, sf_dir):
+    m, x = text.MATH, F.col("c_acctbal") / 20000
+    one = {"e": "exp", "s": "sin", "c": "cos", "t": "tan", "a_s": "asin", "a_c": "acos", "a_t": "atan"}
+    return table(spark, sf_dir, "customer").select("c_custkey", *[F.round(m[f](x), 9).alias(c) for c, f in one.items()], F.round(m["atan2"](x, F.lit(2.0)), 9).alias("a_2"), m["round"]("c_acctbal").cast("long").alias("near"))
+
+
+@query("SELECT c_custkey, c_nationkey + c_custkey AS plus, c_nationkey - c_custkey AS minus, c_nationkey * c_custkey AS times, round(c_nationkey / (c_custkey + 1), 9) AS ratio, round(pow(c_nationkey, 2)) AS square, -c_custkey AS negative, c_nationkey = 3 AS eq, c_nationkey <> 3 AS ne, c_nationkey < 3 AS lt, c_nationkey <= 3 AS le, c_nationkey > 3 AS gt, c_nationkey >= 3 AS ge, c_nationkey > 3 AND c_custkey > 9 AS both_, c_nationkey > 3 OR c_custkey > 9 AS either, NOT c_nationkey > 3 AS inverse FROM customer")
+def script_operators(spark, sf_dir):
+    o, n, k, three, nine = text.OPERATORS, F.col("c_nationkey"), F.col("c_custkey"), F.lit(3), F.lit(9)
+    tests = {"eq": "==", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+    made = [o["+"](n, k).alias("plus"), o["-"](n, k).alias("minus"), o["*"](n, k).alias("times"), F.round(o["/"](n, k + 1), 9).alias("ratio"), F.round(o["^"](n, F.lit(2))).alias("square"), o["neg"](k).alias("negative")]
+    made += [o[f](n, three).alias(c) for c, f in tests.items()]
+    big, late = o[">"](n, three), o[">"](k, nine)
+    return table(spark, sf_dir, "customer").select("c_custkey", *made, o["&&"](big, late).alias("both_"), o["||"](big, late).alias("either"), o["!"](big).alias("inverse"))
+
+
+@query("SELECT p_partkey, list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::UBIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296)::BIGINT AS hash FROM part")
+def fnv_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", sequence.fnv_hash("p_name").alias("hash"))
+
+
+@query("SELECT p_partkey, to_base64(encode(p_name)) AS code, ((strlen(p_name) + 2) // 3 * 4 + 1)::BIGINT AS size FROM part")
+def base64_texts(spark, sf_dir):
+    code = sequence.base64_encode("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), (F.length(code) + 1).cast("long").alias("size"))
+
+
+@query("SELECT p_partkey, i AS piece, i * (length(p_name) // 3) AS \"offset\", CASE WHEN i = 2 THEN substr(p_name, i * (length(p_name) // 3) + 1) ELSE substr(p_name, i * (length(p_name) // 3) + 1, length(p_name) // 3) END AS value FROM part, range(3) r(i)")
+def even_pieces(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(sequence.split_evenly("p_name", 3)).alias("piece", "x"))
+    return rows.select("p_partkey", F.col("piece").cast("long").alias("piece"), F.col("x.offset").cast("long").alias("offset"), F.col("x.piece").alias("value"))
+
+
+@query("SELECT c_custkey, ends_with(c_name, '1') AS ends, CAST(c_nationkey AS VARCHAR) AS written, TRY_CAST(right(c_name, 4) AS INTEGER)::BIGINT AS number, regexp_replace(' ' || c_name, '^[ ]+', '') AS cut FROM customer")
+def string_helpers(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.endswith("c_name", "1").alias("ends"), text.int_to_string("c_nationkey").alias("written"), text.string_to_int(F.expr("right(c_name, 4)")).cast("long").alias("number"), text.ltrim(F.concat(F.lit(" "), "c_name")).alias("cut"))
+
+
+@query(_with(_STEPS, "SELECT 'vertex' AS kind, vi AS a, -1 AS b FROM st UNION ALL SELECT 'pair', vi, vj FROM st UNION ALL SELECT 'both', vi, -1 FROM st UNION ALL SELECT 'both', vj, -1 FROM st UNION ALL SELECT 'upper', least(vi, vj), greatest(vi, vj) FROM st UNION ALL SELECT 'inverse', vj, vi FROM st UNION ALL SELECT 'label', vi, 1 FROM st UNION ALL SELECT 'weight', vi, 1 FROM st"))
+def edge_callbacks(spark, sf_dir):
+    st = cut(part_steps(spark, sf_dir), "steps")
+    made = {
+        "vertex": edges.to_vertex(st).select("v", F.lit(-1)), "pair": edges.to_vertex_pair(st).select("v", "u"), "both": edges.to_vertices(st).select("v", F.lit(-1)),
+        "upper": edges.upper(st).select("vi", "vj"), "inverse": edges.invert(st.select(F.col("vi").alias("key"), F.col("vj").alias("value"))).select("key", "value"),
+        "label": edges.add_label(st).select("vi", "label"), "weight": edges.add_weight(st).select("vi", "w"),
+    }
+    rows = [x.toDF("a", "b").select(F.lit(k).alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")) for k, x in made.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("SELECT l_orderkey, least(a.l_linenumber, b.l_linenumber)::BIGINT AS a, greatest(a.l_linenumber, b.l_linenumber)::BIGINT AS b FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber < b.l_linenumber")
+def pairs_of_lists(spark, sf_dir):
+    """All unordered pairs of short lists: an order's line numbers."""
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber").cast("long"))).alias("n"))
+    return lists.select("l_orderkey", F.explode(sequence.read_pairs("n", 100)).alias("p")).select("l_orderkey", "p.a", "p.b")
+
+
+@query(_with(_STEPS, "SELECT '%%MatrixMarket matrix coordinate real general' AS line UNION ALL SELECT '%' UNION ALL SELECT '1000000 1000000 ' || count(*) FROM st"))
+def matrix_market_head(spark, sf_dir):
+    to = new_path(spark, "matrix")
+    sinks.matrix_market(part_steps(spark, sf_dir), to, 1_000_000)
+    return readers.lines(spark, f"{to}.header").select(F.col("value").alias("line"))
+
+
 # text files: tables written by the sinks and read back by the readers
 
 

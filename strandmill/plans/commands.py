@@ -39,11 +39,23 @@ COMMANDS: dict[str, tuple[list[Callable], Callable]] = {
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession) -> None:
+    """variables: lists of paths that inputs of the form v_name stand for. prepend goes before every path, and a path with % is
+    read once for each of the numbers 1 to ``multi`` in its place."""
+
+    def __init__(self, spark: SparkSession, prepend: str = "", multi: int = 1) -> None:
         self.spark, self.tables, self.seconds = spark, {}, 0.0
+        self.variables: dict[str, list[str]] = {}
+        self.prepend, self.multi = prepend, multi
+
+    def paths(self, name: str) -> list[str]:
+        if name.startswith("v_") and name[2:] not in self.variables:
+            raise ValueError(f"no such variable: {name[2:]}")
+        given = self.variables[name[2:]] if name.startswith("v_") else [name]
+        each = [x.replace("%", str(j), 1) for x in given for j in range(1, self.multi + 1 if "%" in x else 2)]
+        return [f"{self.prepend.rstrip('/')}/{x}" if self.prepend else x for x in each]
 
     def input(self, name: str, read: Callable = readers.lines) -> DataFrame:
-        return self.tables[name] if name in self.tables else read(self.spark, name)
+        return self.tables[name] if name in self.tables else read(self.spark, self.paths(name))
 
     def set(self, name: str, rows: DataFrame) -> None:
         self.tables[name] = rows

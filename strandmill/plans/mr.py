@@ -9,10 +9,14 @@ values to one task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from strandmill.session import cut
 
 CALLBACKS: dict[str, Callable] = {}
 
@@ -27,6 +31,52 @@ def _found(f: Callable | str) -> Callable:
     return CALLBACKS[f] if isinstance(f, str) else f
 
 
+def _unsigned(c: Column) -> Column:
+    n = c.cast("decimal(20,0)")
+    return F.when(n < 0, n + F.lit(Decimal(2**64))).otherwise(n)
+
+
+def prefix(n: int) -> Callable[[Column], Column]:
+    """Texts by their first n characters; those that agree in them tie."""
+    return lambda c: F.substring(c.cast("string"), 1, n)
+
+
+#: What the comparators order by; ``prefix`` makes the length-bounded one.
+ORDERS: dict[str, Callable[[Column], Column]] = {
+    "int": lambda c: c.cast("int"), "uint64": _unsigned, "float": lambda c: c.cast("float"), "double": lambda c: c.cast("double"), "str": lambda c: c.cast("string"),
+}
+
+
+def _order(c: str, ascending: bool, order: Callable[[Column], Column] | str | None) -> Column:
+    by = (ORDERS[order] if isinstance(order, str) else order or (lambda x: x))(F.col(c))
+    return by.asc() if ascending else by.desc()
+
+
+#: Settings that Spark has no use for: it deals tasks out, sizes pages and spills by itself.
+UNUSED = ("mapstyle", "all2all", "timer", "minpage", "maxpage", "freepage", "outofcore", "zeropage", "keyalign", "valuealign")
+
+
+def settings(spark: SparkSession, **values) -> None:
+    """verbosity (0 to 2) sets the log level, memsize (MB) the bytes of a partition read or shuffled; UNUSED ones do nothing,
+    and fpath is ``spark.local.dir``, which must be set before a session begins."""
+    for name, value in values.items():
+        if name == "verbosity":
+            spark.sparkContext.setLogLevel(("ERROR", "WARN", "INFO")[int(value)])
+        elif name == "memsize":
+            for conf in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"):
+                spark.conf.set(conf, f"{int(value)}m")
+        elif name not in UNUSED:
+            raise ValueError(f"cannot set {name}")
+
+
+def cumulative_stats(spark: SparkSession) -> dict[str, int]:
+    """What all executors of the session did up to now: tasks, milliseconds, bytes read and shuffled."""
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    each = [seen.apply(i) for i in range(seen.size())]
+    total = lambda f: sum(f(x) for x in each)
+    return {"tasks": total(lambda x: x.totalTasks()), "ms": total(lambda x: x.totalDuration()), "input_bytes": total(lambda x: x.totalInputBytes()), "shuffle_read_bytes": total(lambda x: x.totalShuffleRead()), "shuffle_write_bytes": total(lambda x: x.totalShuffleWrite())}
+
+
 class KV:
     def __init__(self, rows: DataFrame) -> None:
         if set(rows.columns) not in ({"key", "value"}, {"key", "values"}):
@@ -75,6 +125,23 @@ class KV:
     def map(self, f: Callable | str, schema: str) -> KV:
         return KV.lines(self.rows, f, schema)
 
+    def map_two(self, f: Callable | str, schema: str, other: str) -> tuple[KV, KV]:
+        """map with a second output, open while this one is mapped: f(frame) -> (pairs, further pairs). Rows are made once and
+        kept in the shared folder."""
+        f = _found(f)
+        types = [", ".join(f"{c.name}{i} {c.dataType.simpleString()}" for c in StructType.fromDDL(x)) for i, x in enumerate((schema, other))]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for i, made in enumerate(f(b)):
+                    none = [None] * len(made)
+                    own = {f"{c}{j}": list(made[c]) if i == j else none for j in range(2) for c in ("key", "value")}
+                    yield pd.DataFrame({"which": [i] * len(made)} | {c: pd.Series(x, dtype=object) for c, x in own.items()})
+
+        rows = cut(self.rows.mapInPandas(run, f"which int, {types[0]}, {types[1]}"), "pairs")
+        first, second = (KV(rows.where(F.col("which") == i).select(F.col(f"key{i}").alias("key"), F.col(f"value{i}").alias("value"))) for i in range(2))
+        return first, second
+
     def select(self, key: Column, value: Column) -> KV:
         """map by column expressions."""
         return KV(self.rows.select(key.alias("key"), value.alias("value")))
@@ -153,13 +220,13 @@ class KV:
         return KV(self._pairs().mapInPandas(run, schema))
 
     # order
-    def sort_keys(self, ascending: bool = True, whole: bool = False) -> KV:
-        """Within partitions, or over the whole table."""
-        by = F.col("key").asc() if ascending else F.col("key").desc()
+    def sort_keys(self, ascending: bool = True, whole: bool = False, order: Callable[[Column], Column] | str | None = None) -> KV:
+        """Within partitions, or over the whole table; ``order``: one of ORDERS or a function of the column."""
+        by = _order("key", ascending, order)
         return KV(self.rows.orderBy(by) if whole else self.rows.sortWithinPartitions(by))
 
-    def sort_values(self, ascending: bool = True, whole: bool = False) -> KV:
-        by = F.col("value").asc() if ascending else F.col("value").desc()
+    def sort_values(self, ascending: bool = True, whole: bool = False, order: Callable[[Column], Column] | str | None = None) -> KV:
+        by = _order("value", ascending, order)
         return KV(self._pairs().orderBy(by) if whole else self._pairs().sortWithinPartitions(by))
 
     def sort_multivalues(self, ascending: bool = True, compare: Callable[[Column, Column], Column] | None = None) -> KV:
@@ -173,7 +240,13 @@ class KV:
         self.rows.foreachPartition(_found(f))
 
     def blocks(self, size: int) -> DataFrame:
-        """(key, block, values): groups in blocks of at most ``size`` values."""
+        """(key, block, values): groups in blocks of at most ``size`` values. Of pairs, each partition's values of a key make
+        blocks of their own, so that no key's values come together in one task or row."""
+        if not self.grouped:
+            own = self.rows.withColumn("p", F.spark_partition_id().cast("long"))
+            at = F.row_number().over(Window.partitionBy("p", "key").orderBy("value")) - 1
+            block = F.shiftleft("p", 32) + F.floor(at / size)
+            return own.select("key", "value", block.alias("block")).groupBy("key", "block").agg(F.collect_list("value").alias("values"))
         at = F.sequence(F.lit(0), F.floor((F.size("values") - 1) / size).cast("int"))
         return self._groups().select("key", "values", F.explode(at).alias("block")).select("key", "block", F.slice("values", F.col("block") * size + 1, size).alias("values"))
 

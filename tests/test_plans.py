@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from strandmill.operators.wordfreq import top_words, word_counts
 from strandmill.plans.commands import Workspace, main
-from strandmill.plans.mr import KV, callback
-from strandmill.sources import readers
+from strandmill.plans.mr import KV, ORDERS, callback, cumulative_stats, prefix, settings
+from strandmill.sources import readers, sinks
 
 
 @pytest.fixture()
@@ -46,6 +46,60 @@ def test_moves(pairs, spark):
         pairs.collate().collate()
 
 
+def test_orders(spark):
+    keys = lambda *rows: KV(spark.createDataFrame([(k, 0) for k in rows], "key string, value long"))
+    sort = lambda kv, **how: [r.key for r in kv.sort_keys(whole=True, **how).rows.collect()]
+    assert sort(keys("10", "9", "100")) == ["10", "100", "9"]
+    assert sort(keys("10", "9", "100"), order="int") == ["9", "10", "100"]
+    assert sort(keys("1.5", "-2", "1.25"), order="double", ascending=False) == ["1.5", "1.25", "-2"]
+    assert sort(keys("-1", "5", str(2**63)), order="uint64") == ["5", str(2**63), "-1"]
+    cut_short = KV(spark.createDataFrame([("abz",), ("aba",), ("aaz",)], "key string").withColumn("value", F.lit(0)))
+    assert sort(cut_short, order=prefix(2))[0] == "aaz"
+    assert ORDERS.keys() == {"int", "uint64", "float", "double", "str"}
+
+
+def test_second_output_blocks_and_settings(pairs, spark):
+    def both(rows):
+        return rows.assign(value=rows["value"] * 2), pd.DataFrame({"key": rows["value"], "value": [None] * len(rows)})
+
+    first, second = pairs.map_two(both, "key string, value long", "key long, value string")
+    assert sorted(tuple(r) for r in first.rows.collect()) == [("a", 2), ("a", 6), ("b", 2), ("c", 4)]
+    assert sorted(r.key for r in second.rows.collect()) == [1, 1, 2, 3] and second.rows.where("value is not null").isEmpty()
+    hot = KV(spark.range(0, 1000, 1, 4).select((F.col("id") % 2 * 0).alias("key"), F.col("id").alias("value")))
+    blocks = hot.blocks(30).collect()
+    assert max(len(r["values"]) for r in blocks) == 30 and sorted(v for r in blocks for v in r["values"]) == list(range(1000))
+    assert len({r.block for r in blocks}) == len(blocks)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    settings(spark, memsize=64, mapstyle=2, verbosity=0)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "64m"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    with pytest.raises(ValueError, match="cannot set"):
+        settings(spark, fpath="/tmp")
+    stats = cumulative_stats(spark)
+    assert stats["tasks"] > 0 and stats["shuffle_write_bytes"] > 0
+
+
+def test_named_inputs(spark, tmp_path):
+    for i in (1, 2, 3):
+        (tmp_path / f"e{i}.txt").write_text(f"{i} {i + 1}\n")
+    w = Workspace(spark, prepend=str(tmp_path), multi=2)
+    assert w.run("edge_upper", i=["e%.txt"]).count() == 2
+    w.variables["all"] = ["e1.txt", "e2.txt", "e3.txt"]
+    assert w.run("edge_upper", i=["v_all"]).count() == 3
+    w.set("e1.txt", spark.createDataFrame([(7, 8), (8, 7)], "vi long, vj long"))
+    assert [tuple(r) for r in w.run("edge_upper", i=["e1.txt"]).collect()] == [(7, 8)]
+    with pytest.raises(ValueError, match="variable"):
+        w.run("edge_upper", i=["v_none"])
+
+
+def test_matrix_market(spark, tmp_path):
+    to = str(tmp_path / "m")
+    sinks.matrix_market(spark.createDataFrame([(1, 2, 0.5), (2, 1, 1.0)], "vi long, vj long, w double"), to, 8)
+    assert sorted(r.value for r in spark.read.text(to).collect()) == ["1 2 0.5", "2 1 1.0"]
+    assert [r.value for r in spark.read.text(to + ".header").collect()] == ["%%MatrixMarket matrix coordinate real general", "%", "8 8 2"]
+
+
 def test_words(spark):
     df = spark.createDataFrame([("b a\tb",), ("",), (None,), ("c\fb",)], "value string")
     assert {r.word: r.cnt for r in word_counts(df).collect()} == {"a": 1, "b": 3, "c": 1}
