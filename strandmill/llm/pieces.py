@@ -133,6 +133,30 @@ def looked_up(table: Table, eight: np.ndarray, start: np.ndarray, end: np.ndarra
     return put(ids, size, odd, alone(start[odd], end[odd])) if len(odd) else (ids, size)
 
 
+def _of(characters: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters.encode())] = True
+    return out
+
+
+#: Symbols that no tokenizer here composes, lower-cases or takes into a special token.
+SYMBOLS = _of(",.!?;:$%&#")
+LETTERS = _of("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+LETTERS_DIGITS = LETTERS | _of("0123456789")
+
+
+def one_word(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ranges (not empty) hold nothing but letters of Latin-1, or nothing but SYMBOLS."""
+    if not len(start):
+        return np.zeros(0, bool)
+    flat, _ = take(raw, start, size)
+    before = np.concatenate([[0], flat[:-1]])
+    # C3 leads U+00C0 to U+00FF, of which 97 and B7 are no letters
+    letter = LETTERS[flat] | (flat == 0xC3) | ((before == 0xC3) & (flat != 0x97) & (flat != 0xB7))
+    first = np.cumsum(size) - size
+    return np.logical_and.reduceat(letter, first) | np.logical_and.reduceat(SYMBOLS[flat], first)
+
+
 class Encoder:
     def __init__(self, path: str, between: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,6 +169,16 @@ class Encoder:
         self.table = Table()
         #: The bytes of each id, where ids stand for the bytes of a text one after another.
         self.token_size: np.ndarray | None = None
+        #: For each id whether it ends a word, where the vocabulary tells.
+        self.word_end: np.ndarray | None = None
+
+    def ends_words(self, suffix: str) -> Encoder:
+        """Tell the ends of words by a suffix of their last token."""
+        if self.word_end is None:
+            known = self.tokenizer.get_vocab()
+            self.word_end = np.zeros(max(known.values()) + 1, bool)
+            self.word_end[[i for token, i in known.items() if token.endswith(suffix)]] = True
+        return self
 
     def each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -200,23 +234,52 @@ class Encoder:
         n = np.zeros(len(start), np.int64)
         if (place < len(reach)).all() and (reach[np.minimum(place, len(reach) - 1)] == stop).all():
             n[at] = np.diff(np.concatenate([[0], place]))
-            odd = np.flatnonzero(~plain)
         else:  # ids do not part where the ranges do
-            ids, odd = np.zeros(0, np.uint32), np.arange(len(start))
+            ids, plain = np.zeros(0, np.uint32), np.zeros(len(start), bool)
+        return self._with_rest(data, start, end, plain, ids, n)
+
+    def parted(self, data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``together`` for ranges of data, for tokenizers that mark the end of each word they find: ranges of letters alone, or of
+        SYMBOLS alone, are one such word each, so they go into a call with blanks between them."""
+        raw, size = np.frombuffer(data + b" ", np.uint8), end - start
+        plain = (size < CALL_CHARS) & one_word(raw, start, size)
+        at = np.flatnonzero(plain)
+        stop = np.cumsum(size[at] + 1)
+        flat = take(raw, start[at], size[at] + 1)[0]
+        flat[stop - 1] = 0x20
+        cuts = np.searchsorted(stop, np.arange(0, len(flat) + CALL_CHARS, CALL_CHARS), "left")
+        bounds = np.unique(np.concatenate([[0], stop[np.minimum(cuts, len(stop) - 1)]])).tolist() if len(at) else [0]
+        text = flat.tobytes()
+        ids = np.concatenate([*(self.each([text[p:q].decode()])[0] for p, q in zip(bounds, bounds[1:], strict=False)), np.zeros(0, np.uint32)])
+        ends = np.flatnonzero(self.word_end[ids])
+        n = np.zeros(len(start), np.int64)
+        if len(ends) == len(at) and (not len(ids) or ends[-1] == len(ids) - 1):
+            n[at] = np.diff(np.concatenate([[-1], ends]))
+        else:
+            ids, plain = np.zeros(0, np.uint32), np.zeros(len(start), bool)
+        return self._with_rest(data, start, end, plain, ids, n)
+
+    def _with_rest(self, data: bytes, start: np.ndarray, end: np.ndarray, plain: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ranges, one after another, and how many each has, from those of the ``plain`` ones."""
+        odd, rest = np.flatnonzero(~plain), np.flatnonzero(plain)
         if not len(odd):
             return ids, n
         own, count = self.together([data[p:q].decode() for p, q in zip(start[odd].tolist(), end[odd].tolist(), strict=True)])
         n[odd] = count
         from_ = np.zeros(len(start), np.int64)
         from_[odd] = len(ids) + np.cumsum(count) - count
-        rest = np.setdiff1d(np.arange(len(start)), odd)
         from_[rest] = np.cumsum(n[rest]) - n[rest]
         return take(np.concatenate([ids, own]), from_, n)
 
     def ids(self, data: bytes, eight: np.ndarray, start: np.ndarray, end: np.ndarray, table: Table | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after another, and how many each has. eight: those of data; table: another than the own one."""
         text = lambda a, b: [data[p:q].decode() for p, q in zip(a.tolist(), b.tolist(), strict=True)]
-        make = (lambda a, b: self.together(text(a, b))) if self.token_size is None else lambda a, b: self.adjoined(data, a, b)
+        if self.token_size is not None:
+            make = lambda a, b: self.adjoined(data, a, b)
+        elif self.word_end is not None:
+            make = lambda a, b: self.parted(data, a, b)
+        else:
+            make = lambda a, b: self.together(text(a, b))
         return looked_up(table or self.table, eight, start, end, make, lambda a, b: self.each(text(a, b)))
 
 

@@ -99,11 +99,20 @@ class Reader:
 def encoded(column: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text, one text after another, each with end_id, and how many each has.
 
-    White space always parts tokens of this vocabulary and yields none, so words are its exact pieces.
+    White space always parts tokens of this vocabulary and yields none, so words are exact pieces; so are their parts, as a symbol
+    of ``pieces.SYMBOLS`` after an ASCII letter or digit always begins another token.
     """
-    w = words(column, SPACED, lower=False)
-    ids, size = pieces.encoder(path, "<|startoftext|>").ids(w.data.tobytes(), w.eight, w.start, w.end)
-    count = np.diff(np.concatenate([[0], np.cumsum(size)])[w.docs])
+    w = words(column, SPACED, lower=False, hashed=False)
+    start, end, docs = w.start, w.end, w.docs
+    if len(w.data) > 1:
+        cut = pieces.LETTERS_DIGITS[w.data[:-1]] & pieces.SYMBOLS[w.data[1:]]
+        cut[w.texts[(w.texts > 0) & (w.texts < len(w.data))] - 1] = False  # texts part there already
+        at = np.flatnonzero(cut) + 1
+        start, end = (np.sort(np.concatenate([x, at]), kind="stable") for x in (start, end))
+        docs = np.searchsorted(start, w.texts)
+    encoder = pieces.encoder(path, "<|startoftext|>").ends_words("</w>")
+    ids, size = encoder.ids(w.data.tobytes(), w.eight, start, end)
+    count = np.diff(np.concatenate([[0], np.cumsum(size)])[docs])
     if end_id is None:
         return ids, count
     return np.insert(ids, np.cumsum(count), end_id), count + 1

@@ -127,8 +127,8 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words(column: pa.Array, inside: np.ndarray, lower: bool) -> Words:
-    """Words of a text column. inside: for each byte, whether it belongs to words."""
+def words(column: pa.Array, inside: np.ndarray, lower: bool, hashed: bool = True) -> Words:
+    """Words of a text column. inside: for each byte, whether it belongs to words; hashed: whether to hash them."""
     raw, at = buffer(column)
     n = len(raw)
     if not n:
@@ -149,7 +149,7 @@ def words(column: pa.Array, inside: np.ndarray, lower: bool) -> Words:
     end = np.flatnonzero(mask & ~after) + 1
     low = _LOWER[raw] if lower else raw
     eight = eights(low)
-    return Words(raw, at, start, end, hashes(eight, start, end), np.searchsorted(start, at).astype(np.int64), low, eight)
+    return Words(raw, at, start, end, hashes(eight, start, end) if hashed else np.zeros(0, np.uint64), np.searchsorted(start, at).astype(np.int64), low, eight)
 
 
 def joined(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -62,7 +62,9 @@ def test_bpe_equals_the_library(chunk):
 def test_words_are_exact_pieces():
     from tokenizers import Tokenizer
 
-    texts = odd_texts(800)
+    near = ["Word", "é", "É", "ß", "×", "÷", "µ", "'ll", ",", "...", "$%&", "#", "1", "²", "\u0301", "\u0338", "</w>", " ", "=", "日本", "-", "<|endoftext|>"]
+    rng = random.Random(5)
+    texts = [*odd_texts(800), *("".join(rng.choice(near) for _ in range(30)) for _ in range(2000)), "a," * 40_000, "a" * 70_000 + "," * 70_000, "", ","]
     path = queries.tokenizer("word_bpe_49k.json")
     ids, count = token_files.encoded(pa.array(texts), path, None)
     assert split(ids, count) == [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
